@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import arrow_shards, jpeg_media, mixing, packing, tokens
+from lodestar.llm import arrow_shards, golay_simhash, jpeg_media, mixing, packing, sorted_projection, tokens
 from lodestar.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op5_sorted_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sorted_projection.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokens.default_vocabulary())
 
@@ -28,8 +32,12 @@ def op9_arrow_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrow_shards.index(table(spark, sf_dir, "documents"), tokens.default_vocabulary())
 
 
+def op10_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return golay_simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op6_best_fit_packing, op7_source_mixing, op8_jpeg_media, op9_arrow_shards)}
+    return {f.__name__: f for f in (op5_sorted_projection, op6_best_fit_packing, op7_source_mixing, op8_jpeg_media, op9_arrow_shards, op10_golay_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
