@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import arrow_shards, golay_simhash, jpeg_media, mixing, packing, sorted_projection, tokens
+from lodestar.llm import arrow_shards, golay_simhash, jpeg_media, lang_id, mixing, packing, sorted_projection, tokens
 from lodestar.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op5_sorted_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sorted_projection.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -37,7 +41,7 @@ def op10_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_sorted_projection, op6_best_fit_packing, op7_source_mixing, op8_jpeg_media, op9_arrow_shards, op10_golay_simhash)}
+    return {f.__name__: f for f in (op1_language_id, op5_sorted_projection, op6_best_fit_packing, op7_source_mixing, op8_jpeg_media, op9_arrow_shards, op10_golay_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
