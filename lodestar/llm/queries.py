@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import arrow_shards, golay_simhash, jpeg_media, lang_id, mixing, packing, sorted_projection, tokens
+from lodestar.llm import arrow_shards, golay_simhash, jpeg_media, lang_id, line_templates, mixing, packing, preference, sorted_projection, tokens
 from lodestar.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,16 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_templates.drop_lines(docs)
+
+
+def op3_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = preference.repeated_answer_pairs(table(spark, sf_dir, "conversations"))
+    return preference.format_pairs(pairs).withColumnRenamed("pair_id", "conv_id")
+
+
 def op5_sorted_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sorted_projection.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -41,8 +51,8 @@ def op10_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_language_id, op5_sorted_projection, op6_best_fit_packing, op7_source_mixing, op8_jpeg_media, op9_arrow_shards, op10_golay_simhash)}
+    return {f.__name__: f for f in (op1_language_id, op2_line_templates, op3_preference_pairs, op5_sorted_projection, op6_best_fit_packing, op7_source_mixing, op8_jpeg_media, op9_arrow_shards, op10_golay_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_source_mixing": mixing.ORACLE_SQL}
+    return {"op3_preference_pairs": preference.ORACLE_SQL, "op7_source_mixing": mixing.ORACLE_SQL}
