@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import arrow_shards, golay_simhash, jpeg_media, lang_id, line_templates, mixing, packing, preference, sorted_projection, tokens
+from lodestar.llm import arrow_shards, compact_windows, golay_simhash, jpeg_media, lang_id, line_templates, mixing, packing, preference, sorted_projection, tokens
 from lodestar.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def op3_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.format_pairs(pairs).withColumnRenamed("pair_id", "conv_id")
 
 
+def op4_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_sorted_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sorted_projection.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -51,7 +55,7 @@ def op10_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_language_id, op2_line_templates, op3_preference_pairs, op5_sorted_projection, op6_best_fit_packing, op7_source_mixing, op8_jpeg_media, op9_arrow_shards, op10_golay_simhash)}
+    return {f.__name__: f for f in (op1_language_id, op2_line_templates, op3_preference_pairs, op4_compact_windows, op5_sorted_projection, op6_best_fit_packing, op7_source_mixing, op8_jpeg_media, op9_arrow_shards, op10_golay_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
