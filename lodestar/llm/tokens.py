@@ -1,23 +1,27 @@
 """Token ids of whole texts, with the tokenizers library.
 
-A byte-level BPE never joins across the start of a run of non-space characters (with the one space before it), so the
-ids of a text are those of its chunks in turn. Each Python worker keeps the ids of chunks that it has met, up to
-`CACHE_CHUNKS`; further ones are encoded each time they come. Texts with characters on which white space is read in
-different ways, or with the string of a special token, are encoded in one piece.
+A byte-level BPE works on pieces (a word with the space before it, a run of digits, marks or white space) and never
+across them, so the ids of a text are those of its pieces in turn. Each Python worker keeps the ids of pieces that it has
+met, up to `CACHE_PIECES`; further ones are encoded each time they come. New pieces are encoded as one string, in
+which line feeds stand before pieces without a space; the bytes of its tokens tell where each piece ends. Texts with
+characters that Python's own classes sort in another way, or with the string of a special token, are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
 
 import numpy as np
 
-CACHE_CHUNKS = 500_000
-LONGEST_CHUNK = 64  #: characters; longer ones are not kept
-_CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s")
-_ODD = re.compile("[\x1c-\x1f\x85]")
+CACHE_PIECES = 500_000
+LONGEST_PIECE = 64  #: characters; longer ones are not kept
+# fixed: the pieces of this vocabulary's byte-level pre-tokenizer
+_PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+_ODD = frozenset("\x1c\x1d\x1e\x1f\x85") | {c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isdecimal() and not c.isalpha()}
+_ODD_LOW = re.compile("[" + "".join(sorted(c for c in _ODD if c < "\u0100")) + "]")
 _state: dict = {}
 
 
@@ -34,30 +38,66 @@ def _loaded(path: str) -> dict:
 
         tok = Tokenizer.from_file(path)
         special = [t.content for t in tok.get_added_tokens_decoder().values()]
-        _state.update(path=path, tok=tok, cache={}, odd=re.compile("|".join([_ODD.pattern, *map(re.escape, special)])))
+        _state.update(path=path, tok=tok, cache={}, sizes=_token_bytes(tok), special=special)
     return _state
 
 
+def _token_bytes(tok) -> np.ndarray:
+    """For each id the bytes that it stands for; a byte-level vocabulary has a character for each byte."""
+    vocabulary = tok.get_vocab()
+    sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+    for token, i in vocabulary.items():
+        sizes[i] = len(token)
+    return sizes
+
+
+def _encode_new(pieces: list[str], s: dict) -> dict[str, bytes]:
+    """Ids of pieces, each without white space but for one space before it, or nothing but white space."""
+    blank = [c for c in pieces if c.isspace()]
+    solid = [c for c in pieces if not c.isspace()]
+    out = {c: np.asarray(e.ids, dtype="<u4").tobytes() for c, e in zip(blank, s["tok"].encode_batch_fast(blank, add_special_tokens=False))}
+    if solid:
+        marked = [c if c[0] == " " else "\n" + c for c in solid]
+        ids = np.asarray(s["tok"].encode_batch_fast(["".join(marked)], add_special_tokens=False)[0].ids, dtype="<u4")
+        stops = np.cumsum([len(c.encode()) for c in marked])
+        upto = np.searchsorted(np.cumsum(s["sizes"][ids]), stops) + 1
+        flat, start = ids.tobytes(), 0
+        for c, m, stop in zip(solid, marked, upto.tolist()):
+            out[c] = flat[4 * (start + (m is not c)) : 4 * stop]
+            start = stop
+    return out
+
+
+def _is_odd(text: str, special: list[str]) -> bool:
+    if _ODD_LOW.search(text) or any(x in text for x in special):
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return not _ODD.isdisjoint(text)
+    return False
+
+
 def encode(texts: list[str | None], path: str) -> list[bytes]:
     """For each text its ids as little-endian unsigned 32-bit integers; null counts as empty."""
     s = _loaded(path)
-    cache, tok, odd = s["cache"], s["tok"], s["odd"]
+    cache, tok, special = s["cache"], s["tok"], s["special"]
     whole = lambda x: np.asarray(tok.encode_batch_fast([x], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
     out: list[bytes] = []
     for text in texts:
         if not text:
             out.append(b"")
-        elif odd.search(text):
+        elif _is_odd(text, special):
             out.append(whole(text))
         else:
-            chunks = _CHUNK.findall(text)
-            ids = list(map(cache.get, chunks))
+            pieces = _PIECE.findall(text)
+            ids = list(map(cache.get, pieces))
             if None in ids:
-                new = list({c for c, i in zip(chunks, ids) if i is None})
-                got = {c: np.asarray(e.ids, dtype="<u4").tobytes() for c, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False))}
-                if len(cache) < CACHE_CHUNKS:
-                    cache.update((c, i) for c, i in got.items() if len(c) <= LONGEST_CHUNK)
-                ids = [got[c] if i is None else i for c, i in zip(chunks, ids)]
+                new = list({c for c, i in zip(pieces, ids) if i is None})
+                got = _encode_new(new, s)
+                if len(cache) < CACHE_PIECES:
+                    cache.update((c, i) for c, i in got.items() if len(c) <= LONGEST_PIECE)
+                ids = [got[c] if i is None else i for c, i in zip(pieces, ids)]
             out.append(b"".join(ids))
     return out
 
