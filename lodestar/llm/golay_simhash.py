@@ -171,50 +171,61 @@ def links(fps: DataFrame, max_bits: int = 2, block: int = BLOCK) -> DataFrame:
 
 def blocked_links(rows: DataFrame, close, block: int) -> DataFrame:
     """rows (k long, fp long): links (u, v) that connect what is close and shares a key. close: of two uint64 arrays."""
+
+    def spanning(group: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        fp, n = x[0].view(np.uint64), x.shape[1]
+        at, a, b, step = np.arange(n - 1), [], [], 1
+        while True:
+            at = at[at + step < n]
+            at = at[group[at] == group[at + step]]
+            if not len(at):
+                break
+            hit = at[close(fp[at], fp[at + step])]
+            a.append(hit)
+            b.append(hit + step)
+            if sum(map(len, a)) > 500_000:
+                a, b = [np.arange(n)], [forest(n, np.concatenate(a), np.concatenate(b))]
+            step += 1
+        label = forest(n, np.concatenate(a), np.concatenate(b)) if a else np.arange(n)
+        some = label != np.arange(n)
+        return x[0][some], x[0][label[some]]
+
+    return blocked_rows(rows, ["fp"], spanning, block).where("u <> v")
+
+
+def blocked_rows(rows: DataFrame, columns: list[str], pairs, block: int) -> DataFrame:
+    """Runs pairs on the rows (k and columns, all long) of each key, in blocks: its (u, v).
+
+    A key with more than `block` rows is dealt to pairs of blocks, by a hash of the first column. pairs gets the numbers of the groups
+    and the columns of some whole groups, sorted, and returns two arrays.
+    """
     sizes = rows.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
     many = rows.join(sizes, "k").withColumn("nb", F.ceil(F.col("n") / block).cast("int"))
-    mine = F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int")
+    mine = F.pmod(F.xxhash64(columns[0]), F.col("nb")).cast("int")
     spread = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j")))
-    dealt = many.withColumn("at", F.explode(spread)).select("k", F.col("at.i").alias("i"), F.col("at.j").alias("j"), "fp")
-    dealt = dealt.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j", "fp")
+    dealt = many.withColumn("at", F.explode(spread)).select("k", F.col("at.i").alias("i"), F.col("at.j").alias("j"), *columns)
+    dealt = dealt.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j", *columns)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for b in batches:
             got = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns])
             held = got if held is None else np.concatenate([held, got], axis=1)
-            if held.shape[1] < 20_000:
+            other = np.flatnonzero((held[:3] != held[:3, -1:]).any(axis=0))
+            if held.shape[1] < 20_000 or not len(other):
                 continue
-            last = int(np.flatnonzero((held[:3] != held[:3, -1:]).any(axis=0))[-1]) + 1 if (held[:3] != held[:3, -1:]).any() else 0
-            if last:
-                yield from found(held[:, :last])
-                held = held[:, last:]
+            yield from found(held[:, : other[-1] + 1])
+            held = held[:, other[-1] + 1 :]
         if held is not None and held.shape[1]:
             yield from found(held)
 
     def found(x: np.ndarray) -> Iterator[pa.RecordBatch]:
         new = np.concatenate([[True], (x[:3, 1:] != x[:3, :-1]).any(axis=0)])
-        group = np.cumsum(new)
-        fp, n = x[3].view(np.uint64), x.shape[1]
-        at, label, a, b, step = np.arange(n - 1), None, [], [], 1
-        while True:
-            at = at[at + step < n]
-            at = at[group[at] == group[at + step]]
-            if not len(at):
-                break
-            hit = at[close(fp[at], fp[at + step])]
-            a.append(hit)
-            b.append(hit + step)
-            if sum(map(len, a)) > 500_000:
-                label = forest(n, np.concatenate(a), np.concatenate(b))
-                a, b = [np.arange(n)], [label]
-            step += 1
-        label = forest(n, np.concatenate(a), np.concatenate(b)) if a else np.arange(n)
-        some = label != np.arange(n)
-        if some.any():
-            yield pa.record_batch([pa.array(x[3][some]), pa.array(x[3][label[some]])], names=["u", "v"])
+        u, v = pairs(np.cumsum(new), x[3:])
+        if len(u):
+            yield pa.record_batch([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    return dealt.mapInArrow(compare, "u long, v long").where("u <> v")
+    return dealt.mapInArrow(compare, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, max_bits: int = 2, block: int = BLOCK) -> DataFrame:
