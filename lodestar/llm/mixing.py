@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.llm.common import cut
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 BUCKETS = 1024  #: hash buckets of a source; also finish-time buckets in a unit of virtual time
@@ -60,7 +62,9 @@ def plan_mix(docs: DataFrame, payload: list[str], weights: tuple[int, ...] = WEI
         h.alias("_mx_h"),
         F.floor(F.conv(F.substring(h, 1, 5), 16, 10).cast("long") * BUCKETS / 16**5).cast("int").alias("_mx_b"),
     )
-    sums = _cut(sized.groupBy(*_KEY).agg(F.sum("_mx_size").alias("_w")))
+    if "text" not in payload:  # then rows are small, and texts are read once
+        sized = cut(sized)
+    sums = cut(sized.groupBy(*_KEY).agg(F.sum("_mx_size").alias("_w")))
     targets = source_targets(sums.groupBy("_mx_s", "_mx_n").agg(F.sum("_w").alias("source_size")), weights, share, max_epochs)
     up_to = Window.partitionBy("_mx_s", "_mx_n").orderBy("_mx_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("_before", F.coalesce(F.sum("_w").over(up_to), F.lit(0))).drop("_w").join(targets, ["_mx_s", "_mx_n"])
@@ -87,7 +91,7 @@ def finish_limit(copies: DataFrame, budget: float) -> float:
     Sums by bucket of time find the bucket where the budget runs out; only this bucket's times are ordered.
     """
     slot = F.floor(F.col("f") * BUCKETS).cast("long")
-    by_slot = _cut(copies.groupBy(slot.alias("b")).agg(F.sum("w").alias("w"), F.max("f").alias("f")))
+    by_slot = cut(copies.groupBy(slot.alias("b")).agg(F.sum("w").alias("w"), F.max("f").alias("f")))
     run = by_slot.withColumn("c", F.sum("w").over(Window.orderBy("b")))
     row = run.agg(F.max(F.when(F.col("c") <= budget, F.col("f"))), F.max(F.when(F.col("c") <= budget, F.col("c"))), F.min(F.when(F.col("c") > budget, F.col("b")))).first()
     best, used, edge = (row[0] if row[0] is not None else float("-inf")), row[1] or 0, row[2]
@@ -113,12 +117,6 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
     return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("finish")).alias("taken"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    from lodestar.llm.common import cut
-
-    return cut(df)
-
-
 ORACLE_SQL = """
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
