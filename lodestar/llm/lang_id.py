@@ -29,6 +29,7 @@ EXHAUSTIVE = 6  #: up to so many languages all splits in two are learned; beyond
 UNDETERMINED = "und"
 MARGIN = 0.1  #: of scores of the first and second language, below which a text is ambiguous
 _PIECE = 1_000_000
+_PLACES = 1 << 40
 _letters: list[np.ndarray] = []
 
 
@@ -121,17 +122,21 @@ def held_out() -> Column:
 
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fits on labelled documents (doc_id, text, lang) that are not held out."""
-    labelled = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & ~held_out())
-    n = labelled.select("lang").distinct().count()
-    if not n:
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(_PLACES))
+    labelled = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & ~held_out()).withColumn("_h", place)
+    stats = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.min("_h").alias("first")).collect()  # a row for each language
+    if not stats:
         return fit(np.empty((0, DIM), np.float32), [])
-    each = max(1, sample_rows // n)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = labelled.select("lang", "doc_id").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= each).drop("_r").distinct()
+    each = max(1, sample_rows // len(stats))
+    # the first rows by place are among those up to a place that four times as many are expected to reach
+    upto = [(r["lang"], float(max(r["first"], _PLACES * min(1, 4 * each / r["n"])))) for r in stats]
+    near = F.broadcast(docs.sparkSession.createDataFrame(upto, "lang string, _upto double"))
+    order = Window.partitionBy("lang").orderBy("_h", "doc_id")
+    ids = labelled.select("lang", "doc_id", "_h").join(near, "lang").where("_h <= _upto").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= each).select("lang", "doc_id").distinct()
     # at most sample_rows ids; rows that share an id are cut to the same number again
     pick = F.broadcast(ids.withColumnRenamed("lang", "_l").withColumnRenamed("doc_id", "_d"))
     rows = labelled.join(pick, F.col("lang").eqNullSafe(F.col("_l")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
-    rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")))).where(F.col("_r") <= each)
+    rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id", F.xxhash64("text")))).where(F.col("_r") <= each)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
