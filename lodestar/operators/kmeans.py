@@ -39,7 +39,7 @@ def init_centroids(base: DataFrame, nlist: int, seed: int = 42) -> np.ndarray:
     if nlist < 1:
         raise ValueError("nlist must be at least 1")
     picked = base.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string"))), "vec_id").limit(nlist).collect()
-    return np.array([r["embedding"] for r in picked], np.float64).reshape(len(picked), -1)
+    return np.array([r["embedding"] for r in picked], np.float64) if picked else np.empty((0, 0))
 
 
 def _nearest(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
