@@ -150,8 +150,8 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     return fit(x, [r["lang"] for r in got])
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns keep of docs, then lang_pred, score, ambiguous. Looks at nothing but text."""
+def predict(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, str, str] = ("lang_pred", "score", "ambiguous")) -> DataFrame:
+    """The columns keep of docs, then language, score and whether it is ambiguous, under names. Looks at nothing but text."""
     n = len(keep)
     inner = docs.select(F.col("text").alias("_li"), *[F.col(c).alias(f"_l{i}") for i, c in enumerate(keep)])
     out = ", ".join([*(f"`_l{i}` {inner.schema[f'_l{i}'].dataType.simpleString()}" for i in range(n)), "_lp string", "_ls double", "_la boolean"])
@@ -162,17 +162,17 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                 part = b.slice(at, 512)
                 x = [features(t) for t in part.column(0).to_pylist()]
                 on = np.array([v is not None and bool(model.languages) for v in x])
-                names, score, unsure = [UNDETERMINED] * len(x), np.zeros(len(x)), np.ones(len(x), bool)
+                langs, score, unsure = [UNDETERMINED] * len(x), np.zeros(len(x)), np.ones(len(x), bool)
                 if on.any():
                     s = model.scores(np.stack([v for v, k in zip(x, on) if k]))
                     best = s.argmax(axis=1)
                     for i, k in zip(np.flatnonzero(on), best):
-                        names[i] = model.languages[k]
+                        langs[i] = model.languages[k]
                     score[on] = s.max(axis=1)
                     unsure[on] = s.shape[1] > 1 and np.sort(s, axis=1)[:, -1] - np.sort(s, axis=1)[:, -min(2, s.shape[1])] < MARGIN
-                yield pa.record_batch([*part.columns[1:], pa.array(names), pa.array(score), pa.array(unsure)], names=[*(f"_l{i}" for i in range(n)), "_lp", "_ls", "_la"])
+                yield pa.record_batch([*part.columns[1:], pa.array(langs), pa.array(score), pa.array(unsure)], names=[*(f"_l{i}" for i in range(n)), "_lp", "_ls", "_la"])
 
-    return inner.mapInArrow(run, out).toDF(*keep, "lang_pred", "score", "ambiguous")
+    return inner.mapInArrow(run, out).toDF(*keep, *names)
 
 
 def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

@@ -148,8 +148,10 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, similarity: float = SIM
     return named.join(often, "t").where(~is_first).select("doc_id", "_k", "line", "template")
 
 
-def drop_lines(docs: DataFrame, **options) -> DataFrame:
-    """The columns of docs (doc_id, text and more), text without the recurring lines, then n_lines and n_dropped."""
+def drop_lines(docs: DataFrame, added: tuple[str, str] = ("n_lines", "n_dropped"), **options) -> DataFrame:
+    """The columns of docs (doc_id, text and more), text without the recurring lines, then their numbers of lines and of
+    lines dropped, named by added.
+    """
     names = docs.columns
     inner = docs.toDF(*[f"_lt{i}" for i in range(len(names))])
     by = {n: f"_lt{i}" for i, n in enumerate(names)}
@@ -175,4 +177,4 @@ def drop_lines(docs: DataFrame, **options) -> DataFrame:
             yield pa.record_batch([*columns, pa.array(lines, pa.int32()), pa.array(dropped, pa.int32())], names=out_names)
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[:end]), "_ln int, _ld int"])
-    return joined.mapInArrow(run, schema).toDF(*names, "n_lines", "n_dropped")
+    return joined.mapInArrow(run, schema).toDF(*names, *added)
