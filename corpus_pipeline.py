@@ -19,15 +19,15 @@ from lodestar.llm.common import shared_dir, table
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Fits on the labelled documents that are not held out. Texts without a letter and ambiguous ones go."""
     model = lang_id.train(docs)
-    found = lang_id.predict(docs, model, docs.columns)
-    sure = (F.col("lang_pred") != lang_id.UNDETERMINED) & ~F.col("ambiguous")
+    found = lang_id.predict(docs, model, docs.columns, ("_lang", "_score", "_ambiguous"))
+    sure = (F.col("_lang") != lang_id.UNDETERMINED) & ~F.col("_ambiguous")
     return found.where(sure).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates go from all documents but the first; documents with nothing else go whole."""
-    cleaned = line_templates.drop_lines(docs)
-    left = (F.col("n_dropped") == 0) | (F.trim("text") != "")
+    cleaned = line_templates.drop_lines(docs, ("_lines", "_dropped"))
+    left = (F.col("_dropped") == 0) | (F.trim("text") != "")
     return _measured(cleaned.where(left).select(*docs.columns))
 
 
