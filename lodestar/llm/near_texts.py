@@ -2,10 +2,11 @@
 
 At a Jaccard similarity of 0.8, fingerprints of near-duplicates differ in about 15 % of their bits, far beyond what a few
 segments of 64 bits can make up for. So fingerprints here have SEGMENTS segments of 23 bits, with the votes behind each bit, and
-decoding is soft: a segment gives the NEAREST codewords that its votes agree with most. Segments are taken in pairs; each
-pair gives the keys of all its codeword pairs, and two texts are candidates if they share one. At a
-similarity of 0.8, segments share one of their three codewords with probability 0.73, so one of eight pairs is shared
-with probability 0.998. Candidates pass on 64 bits of the fingerprint, then on their shingles themselves.
+decoding is soft: a segment gives the NEAREST codewords that its votes agree with most. Segments are taken in threes;
+each three gives the keys of all combinations of its codewords, 36 bits each, and two texts are candidates if they share
+one. Keys that long hardly ever meet by chance, so candidates grow with the near-duplicates, not with the square of the
+texts. By simulation, a pair shares a key with probability 0.976 at a similarity of 0.8, 0.997 at 0.85. Candidates pass
+on 64 bits of the fingerprint, then on their shingles themselves.
 
 Texts with the same words are one candidate. In a block of a key each text is a candidate with the one before it that
 is nearest by fingerprint, so a key gives fewer candidates than it has texts; the keys of a text differ in whom they bring together.
@@ -27,8 +28,10 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import components, cut
 from lodestar.llm.golay_simhash import _remainder, blocked_rows, shingle_hashes, words
 
-SEGMENTS, NEAREST, SIZE, SIMILARITY, BLOCK = 16, 3, 5, 0.8, 2048
-BROADCAST_ROWS = 1_000_000  #: document keys (a long each) up to which they are broadcast; beyond, the join shuffles
+SEGMENTS, NEAREST, SIZE, SIMILARITY, BLOCK = 15, 3, 5, 0.8, 2048
+#: threes of segments: no two share a pair, and each segment is in two
+THREES = [(t % 15, (t + 1) % 15, (t + 5) % 15) for t in (3 * i // 2 for i in range(10))]
+BROADCAST_ROWS = 4_000_000  #: keys (a long each) up to which they are broadcast; beyond, the join shuffles
 _BYTES = -(-SEGMENTS * 23 // 8)
 _codes: list[np.ndarray] = []
 
@@ -48,15 +51,24 @@ def votes(hashes: np.ndarray) -> np.ndarray:
     return total
 
 
-def soft_keys(v: np.ndarray) -> np.ndarray:
-    """(n, keys) of votes (n, bits): for each pair of segments the pairs of their nearest codewords."""
+def nearest_codewords(v: np.ndarray) -> np.ndarray:
+    """(n, SEGMENTS, NEAREST) indices of codewords, of votes (n, bits)."""
     if not _codes:
         c = np.array([m << 11 ^ _remainder(m << 11) for m in range(4096)])
         _codes.append((((c[:, None] >> np.arange(23)) & 1) * 2.0 - 1).astype(np.float32).T.copy())
     x = v[:, : SEGMENTS * 23].astype(np.float32).reshape(-1, 23)
-    near = np.argpartition(x @ _codes[0], 4096 - NEAREST, axis=1)[:, 4096 - NEAREST :].reshape(len(v), SEGMENTS // 2, 2, NEAREST)
-    keys = near[:, :, 0, :, None] << 12 | near[:, :, 1, None, :] | (np.arange(SEGMENTS // 2) << 24)[None, :, None, None]
-    return keys.reshape(len(v), -1)
+    near = np.argpartition(x @ _codes[0], 4096 - NEAREST, axis=1)[:, 4096 - NEAREST :]
+    return near.reshape(len(v), SEGMENTS, NEAREST)
+
+
+def soft_keys(near: np.ndarray) -> np.ndarray:
+    """(n, keys): for each three of segments the combinations of their codewords."""
+    near = near.astype(np.int64)
+    out = []
+    for i, (a, b, c) in enumerate(THREES):
+        k = near[:, a, :, None, None] << 24 | near[:, b, None, :, None] << 12 | near[:, c, None, None, :] | i << 36
+        out.append(k.reshape(len(near), -1))
+    return np.concatenate(out, axis=1)
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -69,7 +81,7 @@ def _shingle_set(text: str | None, size: int) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, size: int) -> DataFrame:
-    """docs (doc_id, _d, text): doc_id, _d, k (hash of the words), fp (64 bits), keys."""
+    """docs (doc_id, _d, text): doc_id, _d, k (hash of the words), fp (64 bits), near (codewords)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -79,18 +91,33 @@ def _sketches(docs: DataFrame, size: int) -> DataFrame:
                 k = np.array([xxhash.xxh64_intdigest(b" ".join(words(t)), 3) for t in texts], np.uint64).view(np.int64)
                 v = np.stack([votes(_shingle_set(t, size)) for t in texts])
                 fp = np.packbits(v[:, :64] > 0, axis=1, bitorder="little").view(np.int64).ravel()
-                keys = soft_keys(v)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32)), pa.array(keys.ravel()))
-                yield pa.record_batch([part.column(0), part.column(1), pa.array(k), pa.array(fp), lists], names=["doc_id", "_d", "k", "fp", "keys"])
+                near = pa.array([x.tobytes() for x in nearest_codewords(v).astype(np.int16)], pa.binary())
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(k), pa.array(fp), near], names=["doc_id", "_d", "k", "fp", "near"])
 
-    return docs.select("doc_id", "_d", "text").mapInArrow(run, "doc_id long, _d long, k long, fp long, keys array<long>")
+    return docs.select("doc_id", "_d", "text").mapInArrow(run, "doc_id long, _d long, k long, fp long, near binary")
 
 
 def candidates(classes: DataFrame, similarity: float, block: int) -> DataFrame:
-    """classes (_d, fp, keys): distinct (u, v) of texts that share a key and whose 64 bits allow for the similarity."""
+    """classes (_d, fp, near): distinct (u, v) of texts that share a key and whose 64 bits allow for the similarity."""
     rate = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     limit = int(64 * rate + 3.3 * np.sqrt(64 * rate * (1 - rate)))
-    rows = classes.select(F.explode("keys").alias("k"), "_d", "fp")
+
+    def keyed(names: list[str]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for at in range(0, b.num_rows, 256):
+                    part = b.slice(at, 256)
+                    near = np.frombuffer(b"".join(x.as_py() for x in part.column(2)), np.int16).reshape(-1, SEGMENTS, NEAREST)
+                    k = soft_keys(near)
+                    n = k.shape[1]
+                    columns = [pa.array(k.ravel()), pa.array(np.repeat(np.asarray(part.column(0)), n)), pa.array(np.repeat(np.asarray(part.column(1)), n))]
+                    yield pa.record_batch(columns[: len(names)], names=names)
+
+        return classes.select("_d", "fp", "near").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+    again = cut(keyed(["k"]).groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k"))
+    known = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
+    rows = keyed(["k", "_d", "fp"]).join(known, "k")
 
     def nearest(group: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         fp, n = x[1].view(np.uint64), x.shape[1]
@@ -114,7 +141,7 @@ def candidates(classes: DataFrame, similarity: float, block: int) -> DataFrame:
 def groups(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """docs (doc_id, text, _d = hash of both): (_d, doc_id, component) for each row."""
     each = cut(_sketches(docs, size))
-    classes = cut(each.select("k", "_d", "fp", "keys").dropDuplicates(["k"]))
+    classes = cut(each.select("k", "_d", "fp", "near").dropDuplicates(["k"]))
     edges = cut(candidates(classes, similarity, block))
     wanted = edges.select(F.col("u").alias("_d")).union(edges.select(F.col("v").alias("_d"))).distinct()
     few = wanted.count() <= BROADCAST_ROWS
