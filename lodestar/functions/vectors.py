@@ -50,10 +50,10 @@ def distances(x: np.ndarray, q: np.ndarray, start: int = 0, stop: int | None = N
     return total
 
 
-def pair_distances(x: np.ndarray, q: np.ndarray, start: int, stop: int, out: np.ndarray) -> np.ndarray:
-    """Adds to out the squared distances of x[i] and q[i] over dimensions [start, stop)."""
+def pair_distances(x: np.ndarray, q: np.ndarray, start: int, stop: int, out: np.ndarray, at_x=slice(None), at_q=slice(None)) -> np.ndarray:
+    """Adds to out the squared distances of rows at_x of x and at_q of q, pair by pair, over dimensions [start, stop)."""
     for d in range(start, stop):
-        diff = x[:, d] - q[:, d]
+        diff = x[:, d][at_x] - q[:, d][at_q]
         out += diff * diff
     return out
 

@@ -172,14 +172,17 @@ def ivf_search(index: IvfIndex, queries: DataFrame, nprobe: int, k: int, tau: Da
                     best.add(w, d[i], ids)
                 return
             limit = np.array([min(start[w], best.worst(w)) for w in who.tolist()]) * SLACK
-            i, j = np.divmod(np.arange(len(who) * len(x)), len(x))
-            sums = np.zeros(len(i))
-            for lo, hi in bounds:
-                sums = pair_distances(x[j], q[who[i]], lo, hi, sums)
+            mine = q[who]
+            first = distances(x, mine, *bounds[0])
+            i, j = np.nonzero(first <= limit[:, None])
+            sums = first[i, j]
+            for lo, hi in bounds[1:]:
+                sums = pair_distances(x, mine, lo, hi, sums, j, i)
                 alive = sums <= limit[i]
                 i, j, sums = i[alive], j[alive], sums[alive]
+            cuts = np.searchsorted(i, np.arange(len(who) + 1))
             for n, w in enumerate(who.tolist()):
-                best.add(w, sums[i == n], ids[j[i == n]])
+                best.add(w, sums[cuts[n] : cuts[n + 1]], ids[j[cuts[n] : cuts[n + 1]]])
 
         lists = index.lists.where(F.col("cid").isin([int(c) for c in probed])).select("cid", "vec_id", "embedding")
         part = lists.mapInArrow(run, RESULT)
@@ -236,8 +239,7 @@ def _depth_kernel(bounds: list[tuple[int, int]]):
             stages, sums, alive = np.zeros(len(x), np.int32), np.zeros(len(x)), np.flatnonzero(~seeded)
             for lo, hi in bounds:
                 stages[alive] += 1
-                part = np.zeros(len(alive))
-                sums[alive] += pair_distances(x[alive], q[alive], lo, hi, part)
+                sums[alive] = pair_distances(x, q, lo, hi, sums[alive], alive, alive)
                 alive = alive[sums[alive] <= tau[alive] * SLACK]
             yield pa.record_batch([*b.columns[:4], pa.array(stages)], names=["qid", "cid", "vec_id", "seeded", "stages"])
 
