@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.functions.vectors import l2_partial, l2_squared, slice_bounds
+from lodestar.functions.vectors import l2_partial, l2_squared, register_sql, slice_bounds
 from lodestar.operators import evaluate, kmeans, search
 from lodestar.plans import layout
 from lodestar.sources import flatvec
@@ -47,6 +47,17 @@ def l2_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors(spark, sf_dir).select("vec_id", l2_squared(e, r).alias("dist"), l2_partial(e, r, 0, 16).alias("part_0"), l2_partial(e, r, 48, 64).alias("part_3"))
 
 
+def l2_sql_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register_sql(spark)
+    vectors(spark, sf_dir).createOrReplaceTempView("lodestar_vectors")
+    return spark.sql("SELECT vec_id, l2sq(embedding, reverse(embedding)) AS dist FROM lodestar_vectors")
+
+
+def query_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature is the limit: the first 10 queries."""
+    return search.exact_knn(vectors(spark, sf_dir), search.first_queries(queried(spark, sf_dir), 10), K)
+
+
 def slice_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector's slices of 10, which doesn't divide 64."""
     bounds = F.array(*[F.struct(F.lit(i).alias("s"), F.lit(a).alias("start"), F.lit(b).alias("stop")) for i, (a, b) in enumerate(slice_bounds(DIM, 10))])
@@ -191,6 +202,15 @@ def row_load_imbalance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loads.agg(F.round(F.stddev_pop("load"), 6).alias("imbalance"), F.sum("load").alias("total"))
 
 
+def imbalance_without_warmup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    loads = layout.row_loads(layout.without_warmup(index(spark, sf_dir).sizes()), 4, 1, DIM)
+    return loads.agg(F.round(F.stddev_pop("load"), 6).alias("imbalance"), F.sum("load").alias("total"))
+
+
+def ivf_search_unpruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ivf_search_pruned(index(spark, sf_dir), queried(spark, sf_dir), NPROBE, K, PREWARM, B_DIM, pruning=False)
+
+
 def prune_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(1, 9).select(F.col("id").cast("int").alias("b_dim"), F.round(layout.prune_factor(F.col("id")), 9).alias("work"))
 
@@ -220,11 +240,11 @@ def flatvec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ALL = (
-    dataset_stats, point_lookup, l2_functions, slice_plan, exact_knn, sliced_distance, running_partial_sum, slice_reassembly,
+    dataset_stats, point_lookup, l2_functions, l2_sql_function, query_limit, slice_plan, exact_knn, sliced_distance, running_partial_sum, slice_reassembly,
     centroid_init, assign_clusters, kmeans_centroids, kmeans_assign, inverted_lists, cluster_sizes, nearest_clusters,
-    ivf_search, ivf_search_sliced, ivf_search_all_probes, ivf_search_pruned, recall_at_k, mean_recall, result_compare,
+    ivf_search, ivf_search_sliced, ivf_search_all_probes, ivf_search_pruned, ivf_search_unpruned, recall_at_k, mean_recall, result_compare,
     prewarm_seeds, prewarm_tau, stage_survivors, pruning_report, scanned_by_row, cluster_hits, grid_layout, grid_cells,
-    row_load_imbalance, prune_factor, plan_costs, choose_plan, batch_schedule, flatvec_roundtrip,
+    row_load_imbalance, imbalance_without_warmup, prune_factor, plan_costs, choose_plan, batch_schedule, flatvec_roundtrip,
 )
 
 
@@ -345,6 +365,10 @@ def oracle_sql() -> dict[str, str]:
         "ivf_search_sliced": ivf,
         "ivf_search_all_probes": with_(_BASE, _exact()) + "SELECT * FROM ex",
         "ivf_search_pruned": ivf,
+        "ivf_search_unpruned": ivf,
+        "l2_sql_function": with_(_BASE) + f"SELECT vec_id, {_dist('embedding', 'list_reverse(embedding)')} AS dist FROM v",
+        "query_limit": with_(_BASE, _exact()) + "SELECT * FROM ex WHERE qid IN (SELECT qid FROM q ORDER BY qid LIMIT 10)",
+        "imbalance_without_warmup": with_(idx) + f"SELECT round(stddev_pop(l), 6) AS imbalance, sum(l) AS total FROM (SELECT cid % 4 AS r, sum(size)::DOUBLE * {DIM} AS l FROM sizes GROUP BY 1)",
         "recall_at_k": rec + "SELECT qid, recall FROM re",
         "mean_recall": rec + "SELECT round(avg(recall), 6) AS recall, count(*) AS queries FROM re",
         "result_compare": with_(_BASE) + "SELECT qid, TRUE AS same_ids, TRUE AS same_dists, 'equal' AS verdict FROM q",
