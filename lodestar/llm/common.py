@@ -8,7 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: rows and bytes of an Arrow batch between Spark and Python; texts are long, and a worker holds a batch whole
+BATCH_ROWS, BATCH_BYTES = 1000, 16_000_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches for rows with texts, unless it has limits of its own."""
+    for key, value in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(name, None) in (None, "10000", str(2**63 - 1), "-1"):  # not set: Spark's defaults
+            spark.conf.set(name, value)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -85,8 +85,8 @@ def _sketches(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 128):
-                part = b.slice(at, 128)
+            for at in range(0, b.num_rows, 32):
+                part = b.slice(at, 32)
                 texts = part.column(2).to_pylist()
                 k = np.array([xxhash.xxh64_intdigest(b" ".join(words(t)), 3) for t in texts], np.uint64).view(np.int64)
                 v = np.stack([votes(_shingle_set(t, size)) for t in texts])
