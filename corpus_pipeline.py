@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import lang_id, line_templates, mixing, near_texts, packing, tokens
-from lodestar.llm.common import shared_dir, table
+from lodestar.llm.common import shared_dir, small_batches, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Fits on the labelled documents that are not held out. Texts without a letter and ambiguous ones go."""
+    small_batches(spark)
     model = lang_id.train(docs)
     found = lang_id.predict(docs, model, docs.columns, ("_lang", "_score", "_ambiguous"))
     sure = (F.col("_lang") != lang_id.UNDETERMINED) & ~F.col("_ambiguous")
@@ -26,6 +27,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates go from all documents but the first; documents with nothing else go whole."""
+    small_batches(spark)
     cleaned = line_templates.drop_lines(docs, ("_lines", "_dropped"))
     left = (F.col("_dropped") == 0) | (F.trim("text") != "")
     return _measured(cleaned.where(left).select(*docs.columns))
@@ -33,16 +35,19 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: five-word shingles, similarity 0.8 or more."""
+    small_batches(spark)
     return near_texts.drop_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights; a document that is taken twice stands there twice."""
+    small_batches(spark)
     return mixing.mix(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 1024 tokens, placed in sequences."""
+    small_batches(spark)
     return packing.pack_documents(docs, tokens.default_vocabulary())
 
 
