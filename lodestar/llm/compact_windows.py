@@ -5,11 +5,11 @@ compact windows (l, c, r): every passage [a, b] with l <= a <= c <= b <= r has i
 passage of `min_words` words are kept, about two for each such length of text. Documents that share a window's minimum
 meet there. Where windows of two functions or more meet in one passage (an interval join within a document), their minima
 together are a candidate key; of the documents with this key, one stands for all and each other is verified against it
-on the shingles themselves: a passage of at least min_words words whose Jaccard similarity is at least `similarity`.
+on the shingles of both: passages of at least min_words words whose Jaccard similarity is at least `similarity`.
 
-Windows reach at most HORIZON shingles from their minimum, so longer repeats are found by several windows and joined.
-Documents never form pairs beyond those with a key's representative. Only windows whose minimum occurs in another document
-leave the first pass.
+Windows reach at most HORIZON shingles from their minimum: longer repeats have several. Windows in a row with the same
+minimum (a shingle that repeats) count as one. Documents never form pairs beyond those with a key's representative, and only
+windows whose minimum occurs in another document are joined.
 
 Defined results: null text has no shingles; a document with fewer than min_words words has no passage; documents with the same
 doc_id and text are one document; null doc_id is a value like any other; passages repeated only within one document are left alone;
@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import cut
-from lodestar.llm.golay_simhash import shingle_hashes
+from lodestar.llm.golay_simhash import shingle_hashes, words
 
 SHINGLE, MIN_WORDS, SIMILARITY, FUNCTIONS = 5, 50, 0.8, 4
-LEVELS = 10
-HORIZON = (1 << LEVELS) - 1
-BLOCK = 200_000  #: shingles worked on at a time
-BROADCAST_ROWS = 1_000_000  #: document keys (a long each) up to which they are broadcast; beyond, the join shuffles
+LEVELS = 7
+HORIZON = (1 << LEVELS) - 1  #: enough for a passage of min_words words to both sides
+BLOCK = 32_000  #: shingles worked on at a time, so that arrays stay in the cache
+BROADCAST_ROWS = 4_000_000  #: keys (a long each) up to which they are broadcast; beyond, the join shuffles
 
 
 def mixed(h: np.ndarray, function: int) -> np.ndarray:
@@ -43,47 +43,53 @@ def mixed(h: np.ndarray, function: int) -> np.ndarray:
     return (x ^ x >> np.uint64(31)) | np.uint64(1)
 
 
+def _sliding(op, v: np.ndarray, length: int) -> np.ndarray:
+    """op (minimum or maximum) over each run of the length, by doubling."""
+    span = 1
+    while span < length:
+        step = min(span, length - span)
+        v = op(v[:-step], v[step:])
+        span += step
+    return v
+
+
 def windows(v: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(l, c, r) of the compact windows of v with r - l + 1 >= length; zeros in v separate sequences.
+    """(l, c, r) of the compact windows of v with r - l + 1 >= length, cut off HORIZON from c; zeros in v separate sequences.
 
-    c is the minimum of a window if it is that of some passage of the length, the leftmost of equals. How far it stays the
-    minimum to both sides is found by doubling steps over a table of range minima.
+    c is the leftmost minimum of its window. An element is the minimum of some run of the length if the largest minimum
+    of the runs that hold it is its own value; only for these the window is measured, by doubling steps over a table
+    of range minima.
     """
     n = len(v)
     if n < length:
         return (np.empty(0, np.int64),) * 3
+    least = _sliding(np.minimum, v, length)
+    edge = np.zeros(length - 1, v.dtype)
+    c = np.flatnonzero((_sliding(np.maximum, np.concatenate([edge, least, edge]), length) == v) & (v > 0))
     table = [v]
-    for k in range(LEVELS):
-        low = table[-1]
-        if len(low) <= 1 << k:
+    for k in range(LEVELS - 1):
+        if len(table[-1]) <= 1 << k:
             break
-        table.append(np.minimum(low[: -(1 << k)], low[1 << k :]))
-    best, at = v, np.arange(n)
-    span = 1
-    while span < length:
-        step = min(span, length - span)
-        left = best[:-step] <= best[step:]
-        best, at = np.where(left, best[:-step], best[step:]), np.where(left, at[:-step], at[step:])
-        span += step
-    c = np.unique(at[best > 0])
+        table.append(np.minimum(table[-1][: -(1 << k)], table[-1][1 << k :]))
     low = v[c]
     right, left = c + 1, c.copy()
     for k in range(len(table) - 1, -1, -1):
         t, step = table[k], 1 << k
-        if k == LEVELS:
-            continue
         ok = right + step <= n
         ok[ok] = t[right[ok]] >= low[ok]
         right = right + step * ok
         ok = left - step >= 0
         ok[ok] = t[left[ok] - step] > low[ok]
         left = left - step * ok
-    return left, c, right - 1
+    real = right - left >= length
+    return left[real], c[real], right[real] - 1
 
 
 def _window_rows(docs: DataFrame, with_place: bool, shingle: int, length: int, functions: int) -> DataFrame:
-    """docs (_d, text): (key, _d, w) of all windows; w packs place, reach to both sides and function."""
-    names = ["key", "_d", "w"][: 2 + with_place]
+    """docs (_d, text): (key, _d, w) of all windows, w packing place, reach and function; without place, a row (key) for
+    each document and minimum.
+    """
+    names = ["key", "_d", "w"] if with_place else ["key"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -97,12 +103,12 @@ def _window_rows(docs: DataFrame, with_place: bool, shingle: int, length: int, f
                     held.append((d, at, h[at : at + BLOCK + length - 1]))
                     size += len(held[-1][2])
                     if size >= BLOCK:
-                        yield from found(held)
+                        yield found(held)
                         held, size = [], 0
         if held:
-            yield from found(held)
+            yield found(held)
 
-    def found(held: list) -> Iterator[pa.RecordBatch]:
+    def found(held: list) -> pa.RecordBatch:
         ids = np.array([d for d, _, _ in held], np.int64)
         first = np.array([at for _, at, _ in held], np.int64)
         sizes = np.array([len(h) for _, _, h in held])
@@ -111,20 +117,32 @@ def _window_rows(docs: DataFrame, with_place: bool, shingle: int, length: int, f
         real = np.ones(len(flat), bool)
         real[starts + sizes] = False
         flat[real] = np.concatenate([h for _, _, h in held])
+        out = []
         for j in range(functions):
             v = np.where(real, mixed(flat, j), np.uint64(0))
             left, c, right = windows(v, length)
             owner = np.searchsorted(starts, c, side="right") - 1
-            columns = [pa.array(v[c].view(np.int64)), pa.array(ids[owner])]
+            key = v[c].view(np.int64)
+            heads = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])])[: len(c)])
+            tails = np.concatenate([heads[1:], [len(c)]])[: len(heads)] - 1
+            key, owner, left, c, right = key[heads], owner[heads], left[heads], c[heads], right[tails]
             if with_place:
-                columns.append(pa.array((c - starts[owner] + first[owner]) << 22 | (c - left) << 12 | (right - c) << 2 | j))
-            yield pa.record_batch(columns, names=names)
+                reach = np.minimum(right - c, (1 << 20) - 1)
+                out.append((key, ids[owner], c - starts[owner] + first[owner] << 32 | (c - left) << 22 | reach << 2 | j))
+            else:
+                order = np.lexsort((key, owner))
+                key, owner = key[order], owner[order]
+                out.append((key[np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])])[: len(key)]],))
+        return pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*out)], names=names)
 
     return docs.select("_d", "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def _candidate_keys(rows: DataFrame, length: int) -> DataFrame:
-    """rows (key, _d, w): (pk, _d, a, b) where windows of two functions meet in a passage [a, b] of the length."""
+def _candidate_keys(rows: DataFrame, length: int, functions: int) -> DataFrame:
+    """rows (key, _d, w): (pk, _d, ab), ab the reach of shingles a << 32 | b, where windows of two functions have room for one passage of the length with both minima.
+
+    Functions are in a ring, and neighbours are paired: if more than half of them agree, two neighbours do.
+    """
     ordered = rows.repartition("_d").sortWithinPartitions("_d", "w")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,33 +153,39 @@ def _candidate_keys(rows: DataFrame, length: int) -> DataFrame:
             other = np.flatnonzero(held[1] != held[1, -1])
             if held.shape[1] < 20_000 or not len(other):
                 continue
-            yield from found(held[:, : other[-1] + 1])
+            yield found(held[:, : other[-1] + 1])
             held = held[:, other[-1] + 1 :]
         if held is not None and held.shape[1]:
-            yield from found(held)
+            yield found(held)
 
-    def found(x: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def found(x: np.ndarray) -> pa.RecordBatch:
         key, d, w = x
-        c, j = w >> 22, w & 3
-        left, right = c - (w >> 12 & 1023), c + (w >> 2 & 1023)
-        at, step = np.arange(len(c)), 1
+        c, j = w >> 32, w & 3
+        left, right = c - (w >> 22 & 1023), c + (w >> 2 & (1 << 20) - 1)
+        at, step, out = np.arange(len(c)), 1, [(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))]
         while True:
             at = at[at + step < len(c)]
             at = at[(d[at] == d[at + step]) & (c[at + step] <= right[at])]
             if not len(at):
                 break
             p, q = at, at + step
-            a, b = np.maximum(left[p], left[q]), np.minimum(right[p], right[q])
-            ok = (j[p] != j[q]) & (left[q] <= c[p]) & (b - a + 1 >= length)
-            p, q, a, b = p[ok], q[ok], a[ok], b[ok]
+            low, high = np.maximum(left[p], left[q]), np.minimum(right[p], right[q])
+            ring = (j[p] - j[q]) % functions
+            ok = ((ring == 1) | (ring == functions - 1)) & (left[q] <= c[p]) & (high - low + 1 >= length)
+            p, q = p[ok], q[ok]
             swap = j[p] > j[q]
             one, two = np.where(swap, key[q], key[p]).view(np.uint64), np.where(swap, key[p], key[q]).view(np.uint64)
-            pk = mixed(one ^ mixed(two, 7), 8)
-            if len(p):
-                yield pa.record_batch([pa.array(pk.view(np.int64)), pa.array(d[p]), pa.array(a), pa.array(b)], names=["pk", "_d", "a", "b"])
+            out.append((mixed(one ^ mixed(two, 7), 8), d[p], low[ok], high[ok]))
             step += 1
+        pk, owner, low, high = (np.concatenate(v) for v in zip(*out))
+        pk = pk.view(np.int64)
+        order = np.lexsort((pk, owner))
+        pk, owner, low, high = pk[order], owner[order], low[order], high[order]
+        heads = np.flatnonzero(np.concatenate([[True], (pk[1:] != pk[:-1]) | (owner[1:] != owner[:-1])])[: len(pk)])
+        ab = np.minimum.reduceat(low, heads) << 32 | np.maximum.reduceat(high, heads) if len(heads) else low
+        return pa.record_batch([pa.array(pk[heads]), pa.array(owner[heads]), pa.array(ab)], names=["pk", "_d", "ab"])
 
-    return ordered.mapInArrow(run, "pk long, _d long, a long, b long")
+    return ordered.mapInArrow(run, "pk long, _d long, ab long")
 
 
 def _runs(there: np.ndarray, gap: int) -> list[tuple[int, int]]:
@@ -210,42 +234,54 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
     """
     length = min_words - shingle + 1
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_d"))
-    again = _window_rows(keyed, False, shingle, length, functions).groupBy("key").agg(F.min("_d").alias("x"), F.max("_d").alias("y")).where("x <> y").select("key")
-    survivors = _window_rows(keyed, True, shingle, length, functions).join(again, "key").select("key", "_d", "w").distinct()
-    keys = cut(_candidate_keys(survivors, length))
-    chosen = keys.groupBy("pk").agg(F.min("_d").alias("rd"), F.max("_d").alias("y"), F.min(F.struct("_d", "a", "b")).alias("r")).where("rd <> y")
-    stars = keys.join(chosen.select("pk", "rd", F.col("r.a").alias("ra"), F.col("r.b").alias("rb")), "pk").where("_d <> rd")
-    pairs = cut(stars.groupBy("_d", "rd").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.min("ra").alias("ra"), F.max("rb").alias("rb")))
+    again = _window_rows(keyed, False, shingle, length, functions).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    again = cut(again)
+    known = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
+    survivors = _window_rows(keyed, True, shingle, length, functions).join(known, "key").select("key", "_d", "w")
+    keys = cut(_candidate_keys(survivors, length, functions))
+    chosen = keys.groupBy("pk").agg(F.min("_d").alias("rd"), F.max("_d").alias("last")).where("rd <> last").select("pk", "rd")
+    a, b = F.shiftright("ab", 32), F.col("ab").bitwiseAND(F.lit((1 << 32) - 1))
+    pairs = cut(keys.join(chosen, "pk").where("_d <> rd").groupBy("_d", "rd").agg(F.min(a).alias("a"), F.max(b).alias("b")))
     wanted = pairs.select("_d").union(pairs.select("rd")).distinct()
     few = wanted.count() <= BROADCAST_ROWS
     texts = keyed.join(F.broadcast(wanted) if few else wanted, "_d", "left_semi").dropDuplicates(["_d"])
 
-    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = None, []
         for batch in batches:
-            for i in range(0, batch.num_rows, 128):
-                part, hashes = batch.slice(i, 128), []
-                for text, a, b in zip(*(part.column(n).to_pylist() for n in ("text", "a", "b"))):
-                    hashes.append(shingle_hashes(text, shingle)[a : b + 1].tobytes())
-                yield pa.record_batch([*(part.column(n) for n in ("doc_id", "rd", "a", "ra", "rb")), pa.array(hashes, pa.binary())], names=["doc_id", "rd", "a", "ra", "rb", "h"])
+            out = []
+            for d, doc_id, text, rd, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+                if d != last:
+                    last, own = d, words(text)
+                out.append((doc_id, rd, a, b" ".join(own[a : b + shingle]).decode()))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
+            if out:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["doc_id", "rd", "a", "region"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64()] * 6 + [pa.float64()]
         names = ["doc_id", "start_word", "n_words", "class_doc_id", "class_start_word", "class_n_words", "similarity"]
-        last, h = None, np.empty(0, np.uint64)
+        last = h = order = None
         for batch in batches:
-            for i in range(0, batch.num_rows, 128):
-                out = []
-                for doc_id, rd, at, ra, rb, own, class_id, text in zip(*(c.to_pylist() for c in batch.slice(i, 128).columns)):
-                    if rd != last:
-                        last, h = rd, shingle_hashes(text, shingle)
-                    for s, e, bs, be, j in passages(np.frombuffer(own, np.uint64), h[ra : rb + 1], length, similarity):
-                        out.append((doc_id, at + s, e - s + shingle - 1, class_id, ra + bs, be - bs + shingle - 1, j))
-                if out:
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
-
-    left = pairs.join(texts, "_d").select("doc_id", "text", "rd", "a", "b", "ra", "rb").mapInArrow(slices, "doc_id long, rd long, a long, ra long, rb long, h binary")
-    named = texts.select(F.col("_d").alias("rd"), F.col("doc_id").alias("class_id"), "text")
-    both = left.join(named, "rd").select("doc_id", "rd", "a", "ra", "rb", "h", "class_id", "text")
+            out = []
+            for doc_id, rd, a, region, class_id, class_text in zip(*(c.to_pylist() for c in batch.columns)):
+                if rd != last:
+                    last, h = rd, shingle_hashes(class_text, shingle)
+                    order = np.argsort(h, kind="stable")
+                own = shingle_hashes(region, shingle)
+                first, stop = (np.searchsorted(h, own, side, sorter=order) for side in ("left", "right"))
+                there = stop > first
+                if not there.any():
+                    continue
+                lo, hi = int(order[first[there]].min()), int(order[stop[there] - 1].max())
+                for s, e, bs, be, j in passages(own, h[lo : hi + 1], length, similarity):
+                    out.append((doc_id, a + s, e - s + shingle - 1, class_id, lo + bs, be - bs + shingle - 1, j))
+            if out:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+
+    left = pairs.join(texts, "_d").select("_d", "doc_id", "text", "rd", "a", "b").mapInArrow(regions, "doc_id long, rd long, a long, region string")
+    named = texts.select(F.col("_d").alias("rd"), F.col("doc_id").alias("class_id"), F.col("text").alias("class_text"))
+    both = left.join(named, "rd").select("doc_id", "rd", "a", "region", "class_id", "class_text")
     members = cut(both.mapInArrow(verify, "doc_id long, start_word long, n_words long, class_doc_id long, class_start_word long, class_n_words long, similarity double"))
     own = members.select(F.col("class_doc_id").alias("doc_id"), F.col("class_start_word").alias("start_word"), F.col("class_n_words").alias("n_words")).distinct()
     own = own.select("doc_id", "start_word", "n_words", F.col("doc_id").alias("class_doc_id"), F.col("start_word").alias("class_start_word"), F.col("n_words").alias("class_n_words"), F.lit(1.0).alias("similarity"))
