@@ -143,6 +143,7 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, similarity: float = SIM
     named = cut(named.select("doc_id", "_k", "line", F.xxhash64("leaf", "template").alias("t"), "template"))
     docs_of = named.groupBy("t", "doc_id", "_k").agg(F.min("line").alias("line"))
     often = docs_of.groupBy("t").agg(F.count("*").alias("n_docs"), F.min(F.struct("doc_id", "_k", "line")).alias("first")).where(F.col("n_docs") >= min_docs)
+    often = cut(often)  # a plain table on this side lets adaptive execution split a common template's rows
     first = F.col("first")
     is_first = F.col("doc_id").eqNullSafe(first["doc_id"]) & (F.col("_k") == first["_k"]) & (F.col("line") == first["line"])
     return named.join(often, "t").where(~is_first).select("doc_id", "_k", "line", "template")
