@@ -32,6 +32,7 @@ SHINGLE, MIN_WORDS, SIMILARITY, FUNCTIONS = 5, 50, 0.8, 4
 LEVELS = 7
 HORIZON = (1 << LEVELS) - 1  #: enough for a passage of min_words words to both sides
 BLOCK = 32_000  #: shingles worked on at a time, so that arrays stay in the cache
+PER_TASK = 500  #: regions that a task holds against one representative
 BROADCAST_ROWS = 4_000_000  #: keys (a long each) up to which they are broadcast; beyond, the join shuffles
 
 
@@ -250,13 +251,13 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
         last, own = None, []
         for batch in batches:
             out = []
-            for d, doc_id, text, rd, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+            for d, doc_id, text, rd, turn, a, b in zip(*(c.to_pylist() for c in batch.columns)):
                 if d != last:
                     last, own = d, words(text)
-                out.append((doc_id, rd, a, b" ".join(own[a : b + shingle]).decode()))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
+                out.append((doc_id, rd, turn, a, b" ".join(own[a : b + shingle]).decode()))
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string()]
             if out:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["doc_id", "rd", "a", "region"])
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["doc_id", "rd", "turn", "a", "region"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64()] * 6 + [pa.float64()]
@@ -279,9 +280,13 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
             if out:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
-    left = pairs.join(texts, "_d").select("_d", "doc_id", "text", "rd", "a", "b").mapInArrow(regions, "doc_id long, rd long, a long, region string")
-    named = texts.select(F.col("_d").alias("rd"), F.col("doc_id").alias("class_id"), F.col("text").alias("class_text"))
-    both = left.join(named, "rd").select("doc_id", "rd", "a", "region", "class_id", "class_text")
+    # a representative with many regions is dealt to tasks of PER_TASK regions, its text to each of them
+    shares = pairs.groupBy("rd").agg(F.ceil(F.count("*") / PER_TASK).cast("int").alias("nb"))
+    dealt = pairs.join(shares, "rd").withColumn("turn", F.pmod(F.xxhash64("_d"), F.col("nb")).cast("int"))
+    left = dealt.join(texts, "_d").select("_d", "doc_id", "text", "rd", "turn", "a", "b").mapInArrow(regions, "doc_id long, rd long, turn int, a long, region string")
+    named = texts.select(F.col("_d").alias("rd"), F.col("doc_id").alias("class_id"), F.col("text").alias("class_text")).join(shares, "rd")
+    named = named.withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).drop("nb")
+    both = left.join(named, ["rd", "turn"]).select("doc_id", "rd", "a", "region", "class_id", "class_text")
     members = cut(both.mapInArrow(verify, "doc_id long, start_word long, n_words long, class_doc_id long, class_start_word long, class_n_words long, similarity double"))
     own = members.select(F.col("class_doc_id").alias("doc_id"), F.col("class_start_word").alias("start_word"), F.col("class_n_words").alias("n_words")).distinct()
     own = own.select("doc_id", "start_word", "n_words", F.col("doc_id").alias("class_doc_id"), F.col("start_word").alias("class_start_word"), F.col("n_words").alias("class_n_words"), F.lit(1.0).alias("similarity"))

@@ -69,3 +69,11 @@ def test_blocks_of_long_texts(spark, monkeypatch):
     monkeypatch.setattr(cw, "BLOCK", 200)
     got = cw.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r["doc_id"], r["start_word"], r["n_words"]) for r in got} == {(1, 1400, 100), (2, 50, 100)}
+
+
+def test_representatives_dealt_to_many_tasks(spark, monkeypatch):
+    shared = " ".join(prose(70, 8))
+    df = spark.createDataFrame([(i, " ".join(prose(40, 100 + i)) + " " + shared) for i in range(30)], "doc_id long, text string")
+    whole = sorted(map(tuple, cw.repeated_passages(df).collect()))
+    monkeypatch.setattr(cw, "PER_TASK", 1)
+    assert sorted(map(tuple, cw.repeated_passages(df).collect())) == whole and {r[0] for r in whole} == set(range(30))
