@@ -281,7 +281,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
     # a representative with many regions is dealt to tasks of PER_TASK regions, its text to each of them
-    shares = pairs.groupBy("rd").agg(F.ceil(F.count("*") / PER_TASK).cast("int").alias("nb"))
+    shares = cut(pairs.groupBy("rd").agg(F.ceil(F.count("*") / PER_TASK).cast("int").alias("nb")))
     dealt = pairs.join(shares, "rd").withColumn("turn", F.pmod(F.xxhash64("_d"), F.col("nb")).cast("int"))
     left = dealt.join(texts, "_d").select("_d", "doc_id", "text", "rd", "turn", "a", "b").mapInArrow(regions, "doc_id long, rd long, turn int, a long, region string")
     named = texts.select(F.col("_d").alias("rd"), F.col("doc_id").alias("class_id"), F.col("text").alias("class_text")).join(shares, "rd")
