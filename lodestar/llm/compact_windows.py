@@ -5,11 +5,11 @@ compact windows (l, c, r): every passage [a, b] with l <= a <= c <= b <= r has i
 passage of `min_words` words are kept, about two for each such length of text. Documents that share a window's minimum
 meet there. Where windows of two functions or more meet in one passage (an interval join within a document), their minima
 together are a candidate key; of the documents with this key, one stands for all and each other is verified against it
-on the shingles of both: passages of at least min_words words whose Jaccard similarity is at least `similarity`.
+on the shingles of both: passages of at least min_words words whose Jaccard similarity is at least `similarity`. A document
+without such a passage where its key lies goes on to all others with the key, until one has a passage with it.
 
 Windows reach at most HORIZON shingles from their minimum: longer repeats have several. Windows in a row with the same
-minimum (a shingle that repeats) count as one. Documents never form pairs beyond those with a key's representative, and only
-windows whose minimum occurs in another document are joined.
+minimum (a shingle that repeats) count as one. Only windows whose minimum occurs in another document are joined.
 
 Defined results: null text has no shingles; a document with fewer than min_words words has no passage; documents with the same
 doc_id and text are one document; null doc_id is a value like any other; passages repeated only within one document are left alone;
@@ -33,6 +33,7 @@ LEVELS = 7
 HORIZON = (1 << LEVELS) - 1  #: enough for a passage of min_words words to both sides
 BLOCK = 32_000  #: shingles worked on at a time, so that arrays stay in the cache
 PER_TASK = 500  #: regions that a task holds against one representative
+GROUP = 1024  #: regions of a key, beyond which they are compared by pairs of blocks
 BROADCAST_ROWS = 4_000_000  #: keys (a long each) up to which they are broadcast; beyond, the join shuffles
 
 
@@ -228,6 +229,37 @@ def passages(a: np.ndarray, b: np.ndarray, length: int, similarity: float) -> li
     return sorted(out)
 
 
+def partners(sets: list[np.ndarray], wanted: list[bool], length: int, similarity: float) -> Iterator[tuple[int, int, list]]:
+    """(i, j, passages) of regions (their shingles in order): for each wanted i, the first j that has passages with it; not if an i before
+    has it as its j.
+
+    A pair is tried if it shares as many shingles as the least passage needs; which ones do is looked up, so that regions
+    with only a short text in common cost nothing.
+    """
+    distinct = [np.unique(h) for h in sets]
+    owner = np.repeat(np.arange(len(sets)), [len(u) for u in distinct])
+    flat = np.concatenate(distinct)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    covered = np.zeros(len(sets), bool)
+    for i in np.flatnonzero(wanted).tolist():
+        if covered[i]:
+            continue
+        u = distinct[i]
+        least = max(1, int(np.ceil(similarity * (length - (len(sets[i]) - len(u))) - 1e-9)))
+        first, stop = np.searchsorted(flat, u, "left"), np.searchsorted(flat, u, "right")
+        shared = stop - first > 1
+        if shared.sum() < least:
+            continue
+        n = np.bincount(np.concatenate([owner[a:b] for a, b in zip(first[shared].tolist(), stop[shared].tolist())]), minlength=len(sets))
+        n[i] = 0
+        for j in np.flatnonzero(n >= least).tolist():
+            if found := passages(sets[i], sets[j], length, similarity):
+                covered[i] = covered[j] = True
+                yield i, j, found
+                break
+
+
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, shingle: int = SHINGLE, functions: int = FUNCTIONS) -> DataFrame:
     """docs (doc_id, text): near-duplicate passages, (doc_id, start_word, n_words, class_doc_id, class_start_word,
     class_n_words, similarity), a row for each passage of a document and its representative; a representative's own
@@ -247,6 +279,10 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
     few = wanted.count() <= BROADCAST_ROWS
     texts = keyed.join(F.broadcast(wanted) if few else wanted, "_d", "left_semi").dropDuplicates(["_d"])
 
+    names = ["doc_id", "start_word", "n_words", "class_doc_id", "class_start_word", "class_n_words", "similarity"]
+    kinds = [pa.int64()] * 6 + [pa.float64()]
+    schema = "doc_id long, start_word long, n_words long, class_doc_id long, class_start_word long, class_n_words long, similarity double"
+
     def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, []
         for batch in batches:
@@ -254,18 +290,16 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
             for d, doc_id, text, rd, turn, a, b in zip(*(c.to_pylist() for c in batch.columns)):
                 if d != last:
                     last, own = d, words(text)
-                out.append((doc_id, rd, turn, a, b" ".join(own[a : b + shingle]).decode()))
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string()]
+                out.append((d, doc_id, rd, turn, a, b" ".join(own[a : b + shingle]).decode()))
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string()]
             if out:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["doc_id", "rd", "turn", "a", "region"])
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["_d", "doc_id", "key", "turn", "a", "region"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64()] * 6 + [pa.float64()]
-        names = ["doc_id", "start_word", "n_words", "class_doc_id", "class_start_word", "class_n_words", "similarity"]
         last = h = order = None
         for batch in batches:
             out = []
-            for doc_id, rd, a, region, class_id, class_text in zip(*(c.to_pylist() for c in batch.columns)):
+            for d, doc_id, rd, a, region, class_id, class_text in zip(*(c.to_pylist() for c in batch.columns)):
                 if rd != last:
                     last, h = rd, shingle_hashes(class_text, shingle)
                     order = np.argsort(h, kind="stable")
@@ -276,18 +310,63 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
                     continue
                 lo, hi = int(order[first[there]].min()), int(order[stop[there] - 1].max())
                 for s, e, bs, be, j in passages(own, h[lo : hi + 1], length, similarity):
-                    out.append((doc_id, a + s, e - s + shingle - 1, class_id, lo + bs, be - bs + shingle - 1, j))
+                    out.append((d, rd, doc_id, a + s, e - s + shingle - 1, class_id, lo + bs, be - bs + shingle - 1, j))
+            if out:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64()] * 2 + kinds)], names=["_d", "rd", *names])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            out = []
+            for key, i, j, _, is_open, doc_id, a, region in zip(*(c.to_pylist() for c in batch.columns)):
+                if (key, i, j) != at:
+                    out += settled(held)
+                    at, held = (key, i, j), []
+                held.append((doc_id, a, is_open, shingle_hashes(region, shingle)))
             if out:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+        if out := settled(held):
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+
+    def settled(held: list) -> list[tuple]:
+        out = []
+        if len(held) > 1:
+            for i, j, found in partners([x[3] for x in held], [x[2] for x in held], length, similarity):
+                (doc_id, a, *_), (class_id, c, *_) = held[i], held[j]
+                out += [(doc_id, a + s, e - s + shingle - 1, class_id, c + bs, be - bs + shingle - 1, x) for s, e, bs, be, x in found]
+        return out
 
     # a representative with many regions is dealt to tasks of PER_TASK regions, its text to each of them
     shares = cut(pairs.groupBy("rd").agg(F.ceil(F.count("*") / PER_TASK).cast("int").alias("nb")))
     dealt = pairs.join(shares, "rd").withColumn("turn", F.pmod(F.xxhash64("_d"), F.col("nb")).cast("int"))
-    left = dealt.join(texts, "_d").select("_d", "doc_id", "text", "rd", "turn", "a", "b").mapInArrow(regions, "doc_id long, rd long, turn int, a long, region string")
+    left = dealt.join(texts, "_d").select("_d", "doc_id", "text", "rd", "turn", "a", "b").mapInArrow(regions, "_d long, doc_id long, key long, turn int, a long, region string").withColumnRenamed("key", "rd")
     named = texts.select(F.col("_d").alias("rd"), F.col("doc_id").alias("class_id"), F.col("text").alias("class_text")).join(shares, "rd")
     named = named.withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).drop("nb")
-    both = left.join(named, ["rd", "turn"]).select("doc_id", "rd", "a", "region", "class_id", "class_text")
-    members = cut(both.mapInArrow(verify, "doc_id long, start_word long, n_words long, class_doc_id long, class_start_word long, class_n_words long, similarity double"))
+    both = left.join(named, ["rd", "turn"]).select("_d", "doc_id", "rd", "a", "region", "class_id", "class_text")
+    first = cut(both.mapInArrow(verify, f"_d long, rd long, {schema}"))
+
+    # where a key has no verified passage in reach, its document goes on to the others with the key, if there are any but the representative
+    tried = keys.join(chosen, "pk").where("_d <> rd").select("pk", "_d", "rd", a.alias("a"), b.alias("b"))
+    spans = first.select("_d", "rd", F.col("start_word").alias("s"), (F.col("start_word") + F.col("n_words") - shingle).alias("e"))
+    common = F.least("b", "e") - F.greatest("a", "s") + 1 >= length
+    failed = cut(tried.join(spans.withColumnsRenamed({"_d": "_sd", "rd": "_sr"}), (F.col("_d") == F.col("_sd")) & (F.col("rd") == F.col("_sr")) & common, "left_anti").select("pk", "_d"))
+    large = keys.groupBy("pk").agg(F.count("*").alias("n")).where("n > 2")
+    still = failed.groupBy("pk").agg(F.count("*").alias("_open")).join(large, "pk").select("pk", F.ceil(F.col("n") / GROUP).cast("int").alias("nb"))
+    group = keys.join(still, "pk").join(failed.withColumn("is_open", F.lit(True)), ["pk", "_d"], "left").select("pk", "_d", "nb", F.coalesce("is_open", F.lit(False)).alias("is_open"), a.alias("a"), b.alias("b"))
+    # keys with the same documents are one; regions have room around them, as their passages may go on
+    sums = group.groupBy("pk").agg(F.sum(F.xxhash64("_d", "is_open").cast("decimal(38,0)")).alias("x"), F.count("*").alias("n"))
+    alike = sums.select("pk", F.xxhash64("x", "n").alias("key"))
+    group = group.join(alike, "pk").groupBy("key", "_d").agg(F.min("nb").alias("nb"), F.max("is_open").alias("is_open"), F.greatest(F.min("a") - length, F.lit(0)).alias("a"), (F.max("b") + length).alias("b"))
+    group = cut(group.withColumn("own", F.pmod(F.xxhash64("_d"), F.col("nb")).cast("int")))
+    some = group.select("_d").distinct()
+    source = keyed.join(F.broadcast(some) if some.count() <= BROADCAST_ROWS else some, "_d", "left_semi").dropDuplicates(["_d"])
+    parts = group.join(source, "_d").select("_d", "doc_id", "text", "key", F.lit(0).alias("turn"), "a", "b")
+    cutout = parts.mapInArrow(regions, "_d long, doc_id long, key long, turn int, a long, region string").drop("turn")
+    spread = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda x: F.struct(F.least("own", x).alias("i"), F.greatest("own", x).alias("j")))
+    dealt = cutout.join(group.select("key", "_d", "nb", "own", "is_open"), ["key", "_d"]).withColumn("at", F.explode(spread))
+    dealt = dealt.select("key", F.col("at.i").alias("i"), F.col("at.j").alias("j"), "_d", "is_open", "doc_id", "a", "region")
+    later = cut(dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "_d").mapInArrow(compare, schema))
+    members = cut(first.select(*names).unionByName(later).distinct())
     own = members.select(F.col("class_doc_id").alias("doc_id"), F.col("class_start_word").alias("start_word"), F.col("class_n_words").alias("n_words")).distinct()
     own = own.select("doc_id", "start_word", "n_words", F.col("doc_id").alias("class_doc_id"), F.col("start_word").alias("class_start_word"), F.col("n_words").alias("class_n_words"), F.lit(1.0).alias("similarity"))
     return members.unionByName(own)

@@ -77,3 +77,20 @@ def test_representatives_dealt_to_many_tasks(spark, monkeypatch):
     whole = sorted(map(tuple, cw.repeated_passages(df).collect()))
     monkeypatch.setattr(cw, "PER_TASK", 1)
     assert sorted(map(tuple, cw.repeated_passages(df).collect())) == whole and {r[0] for r in whole} == set(range(30))
+
+
+def test_boilerplate_with_different_continuations(spark):
+    """Documents with 40 common words, two and two of which go on with the same 12: whichever stands for a key, pairs are found."""
+    line = prose(40, 9)
+    rows = [(i, " ".join(prose(60, 1000 + i) + line + prose(12, 2000 + i // 2) + prose(60, 3000 + i))) for i in range(60)]
+    got = cw.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    spans = {r["doc_id"]: (r["start_word"], r["n_words"], r["class_doc_id"] // 2) for r in got}
+    assert spans == {i: (60, 52, i // 2) for i in range(60)}
+
+
+def test_blocks_of_a_key(spark, monkeypatch):
+    line = prose(40, 9)
+    rows = [(i, " ".join(prose(60, 1000 + i) + line + prose(12, 2000 + i // 2) + prose(60, 3000 + i))) for i in range(40)]
+    monkeypatch.setattr(cw, "GROUP", 4)
+    got = cw.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in got} == set(range(40))
