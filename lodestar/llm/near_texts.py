@@ -8,8 +8,9 @@ one. Keys that long hardly ever meet by chance, so candidates grow with the near
 texts. By simulation, a pair shares a key with probability 0.976 at a similarity of 0.8, 0.997 at 0.85. Candidates pass
 on 64 bits of the fingerprint, then on their shingles themselves.
 
-Texts with the same words are one candidate. In a block of a key each text is a candidate with the one before it that
-is nearest by fingerprint, so a key gives fewer candidates than it has texts; the keys of a text differ in whom they bring together.
+Texts with the same words are one candidate. In a block of a key each text is first a candidate with the one before it that
+is nearest by fingerprint, so a key gives fewer candidates than it has texts. What these pairs leave in different components is then
+compared exactly: all texts that share a key, pass on 64 bits and are not connected yet.
 
 Defined results: null, empty and blank texts are copies of each other; a text with fewer words than a shingle is one shingle; of a
 group, the document with the smallest doc_id stays (null last; of equal ones one); an empty table gives no rows.
@@ -97,10 +98,14 @@ def _sketches(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", "_d", "text").mapInArrow(run, "doc_id long, _d long, k long, fp long, near binary")
 
 
-def candidates(classes: DataFrame, similarity: float, block: int) -> DataFrame:
-    """classes (_d, fp, near): distinct (u, v) of texts that share a key and whose 64 bits allow for the similarity."""
+def bit_limit(similarity: float) -> int:
+    """Differing bits of 64 that the similarity allows for, 3.3 standard deviations above the mean."""
     rate = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    limit = int(64 * rate + 3.3 * np.sqrt(64 * rate * (1 - rate)))
+    return int(64 * rate + 3.3 * np.sqrt(64 * rate * (1 - rate)))
+
+
+def key_rows(classes: DataFrame) -> DataFrame:
+    """classes (_d, fp, near): (k, _d, fp) for each key that another text has, too."""
 
     def keyed(names: list[str]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +122,12 @@ def candidates(classes: DataFrame, similarity: float, block: int) -> DataFrame:
 
     again = cut(keyed(["k"]).groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k"))
     known = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
-    rows = keyed(["k", "_d", "fp"]).join(known, "k")
+    return keyed(["k", "_d", "fp"]).join(known, "k")
+
+
+def candidates(rows: DataFrame, similarity: float, block: int) -> DataFrame:
+    """rows of key_rows: distinct (u, v) of texts, each with the nearest before it in a block of a key, if its 64 bits allow for the similarity."""
+    limit = bit_limit(similarity)
 
     def nearest(group: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         fp, n = x[1].view(np.uint64), x.shape[1]
@@ -138,14 +148,37 @@ def candidates(classes: DataFrame, similarity: float, block: int) -> DataFrame:
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
+def unconnected(rows: DataFrame, comps: DataFrame, similarity: float, block: int) -> DataFrame:
+    """rows of key_rows, comps (id, component): distinct (u, v) of all texts of different components that share a key and whose 64 bits
+    allow for the similarity.
+    """
+    limit = bit_limit(similarity)
+    placed = rows.join(comps.withColumnRenamed("id", "_d"), "_d", "left").select("k", "_d", "fp", F.coalesce("component", "_d").alias("c"))
+    mixed = placed.groupBy("k").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("k")
+
+    def pairs(group: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        fp, c, at, step = x[1].view(np.uint64), x[2], np.arange(x.shape[1] - 1), 1
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        while True:
+            at = at[at + step < len(fp)]
+            at = at[group[at] == group[at + step]]
+            if not len(at):
+                break
+            hit = at[(c[at] != c[at + step]) & (np.bitwise_count(fp[at] ^ fp[at + step]) <= limit)]
+            a.append(x[0][hit])
+            b.append(x[0][hit + step])
+            step += 1
+        u, v = np.concatenate(a), np.concatenate(b)
+        return np.minimum(u, v), np.maximum(u, v)
+
+    return blocked_rows(placed.join(mixed, "k"), ["_d", "fp", "c"], pairs, block).where("u <> v").distinct()
+
+
 def groups(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """docs (doc_id, text, _d = hash of both): (_d, doc_id, component) for each row."""
     each = cut(_sketches(docs, size))
     classes = cut(each.select("k", "_d", "fp", "near").dropDuplicates(["k"]))
-    edges = cut(candidates(classes, similarity, block))
-    wanted = edges.select(F.col("u").alias("_d")).union(edges.select(F.col("v").alias("_d"))).distinct()
-    few = wanted.count() <= BROADCAST_ROWS
-    texts = docs.select("_d", "text").join(F.broadcast(wanted) if few else wanted, "_d", "left_semi").dropDuplicates(["_d"])
+    rows = cut(key_rows(classes))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -159,10 +192,19 @@ def groups(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY, bl
             ok = pa.array([jaccard(p, q) >= similarity for p, q in zip(x, y)], pa.bool_())
             yield pa.record_batch([b.column(0).filter(ok), b.column(1).filter(ok)], names=["u", "v"])
 
-    shingles = texts.mapInArrow(sets, "_d long, h binary")
-    one = edges.join(shingles.select(F.col("_d").alias("u"), F.col("h").alias("hu")), "u")
-    both = one.join(shingles.select(F.col("_d").alias("v"), F.col("h").alias("hv")), "v").select("u", "v", "hu", "hv")
-    comps = components(both.mapInArrow(verify, "u long, v long"))
+    def verified(edges: DataFrame) -> DataFrame:
+        wanted = edges.select(F.col("u").alias("_d")).union(edges.select(F.col("v").alias("_d"))).distinct()
+        few = wanted.count() <= BROADCAST_ROWS
+        texts = docs.select("_d", "text").join(F.broadcast(wanted) if few else wanted, "_d", "left_semi").dropDuplicates(["_d"])
+        shingles = texts.mapInArrow(sets, "_d long, h binary")
+        one = edges.join(shingles.select(F.col("_d").alias("u"), F.col("h").alias("hu")), "u")
+        both = one.join(shingles.select(F.col("_d").alias("v"), F.col("h").alias("hv")), "v").select("u", "v", "hu", "hv")
+        return cut(both.mapInArrow(verify, "u long, v long"))
+
+    edges = cut(candidates(rows, similarity, block))
+    near = verified(edges)
+    rest = cut(unconnected(rows, components(near), similarity, block).join(edges, ["u", "v"], "left_anti"))
+    comps = components(near.unionByName(verified(rest)))
     named = classes.select("k", "_d").join(comps.withColumnRenamed("id", "_d"), "_d", "left").select("k", F.coalesce("component", "_d").alias("component"))
     return each.select("_d", "doc_id", "k").join(named, "k").select("_d", "doc_id", "component")
 

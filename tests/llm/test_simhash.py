@@ -1,3 +1,4 @@
+import random
 from itertools import combinations
 
 import numpy as np
@@ -129,3 +130,23 @@ def test_one_of_each_group_stays(spark, edge, none):
 def test_threes_share_no_pair():
     seen = [frozenset(p) for t in nt.THREES for p in combinations(t, 2)]
     assert len(seen) == len(set(seen)) and {s for t in nt.THREES for s in t} == set(range(nt.SEGMENTS))
+
+
+def test_near_texts_where_the_nearest_fails(spark):
+    """Template pages at about 0.7 to each other with pairs at 0.8 or more among them, against brute force."""
+    rng = random.Random(4)
+    base, texts = [f"b{i}" for i in range(400)], []
+    for i in range(60):
+        own = list(base)
+        for p in rng.sample(range(0, 400, 5), 6):
+            own[p] = f"x{i}_{p}"
+        texts.append(" ".join(own))
+        for p in rng.sample(range(2, 400, 5), 8):
+            own[p] = f"y{i}_{p}"
+        texts.append(" ".join(own))
+    sets = [nt._shingle_set(t, 5) for t in texts]
+    links = [(a, b) for a in range(len(texts)) for b in range(a) if nt.jaccard(sets[a], sets[b]) >= 0.8]
+    want = gs.forest(len(texts), *np.array(links).T)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"] for r in nt.drop_near_duplicates(docs).collect()}
+    assert len(set(want.tolist())) > 1 and got == set(want.tolist())
