@@ -2,10 +2,10 @@
 
 At a Jaccard similarity of 0.8, fingerprints of near-duplicates differ in about 15 % of their bits, far beyond what a few
 segments of 64 bits can make up for. So fingerprints here have SEGMENTS segments of 23 bits, with the votes behind each bit, and
-decoding is soft: a segment gives the NEAREST codewords that its votes agree with most. Segments are taken in threes;
-each three gives the keys of all combinations of its codewords, 36 bits each, and two texts are candidates if they share
-one. Keys that long hardly ever meet by chance, so candidates grow with the near-duplicates, not with the square of the
-texts. By simulation, a pair shares a key with probability 0.976 at a similarity of 0.8, 0.997 at 0.85. Candidates pass
+decoding is soft: a segment gives the NEAREST codewords that its votes agree with most, best first. Segments are taken in threes;
+each three gives the keys of those combinations of its codewords whose places sum to RANKS at most, 36 bits each, and two texts are
+candidates if they share one. Keys that long hardly ever meet by chance, so candidates grow with the near-duplicates, not with the square of the
+texts. By simulation, a pair shares a key with probability 0.998 at a similarity of 0.8. Candidates pass
 on 64 bits of the fingerprint, then on their shingles themselves.
 
 Texts with the same words are one candidate. In a block of a key each text is first a candidate with the one before it that
@@ -19,6 +19,7 @@ group, the document with the smallest doc_id stays (null last; of equal ones one
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +30,10 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import components, cut
 from lodestar.llm.golay_simhash import _remainder, blocked_rows, shingle_hashes, words
 
-SEGMENTS, NEAREST, SIZE, SIMILARITY, BLOCK = 15, 3, 5, 0.8, 2048
-#: threes of segments: no two share a pair, and each segment is in two
-THREES = [(t % 15, (t + 1) % 15, (t + 5) % 15) for t in (3 * i // 2 for i in range(10))]
+SEGMENTS, NEAREST, RANKS, SIZE, SIMILARITY, BLOCK = 15, 4, 3, 5, 0.8, 2048
+#: threes of segments: no two share a pair, and a segment is in five on average
+THREES = [(t, (t + 1) % 15, (t + 5) % 15) for t in range(15)] + [(t, (t + 2) % 15, (t + 8) % 15) for t in (3 * i // 2 for i in range(10))]
+_COMBINATIONS = np.array([c for c in product(range(NEAREST), repeat=3) if sum(c) <= RANKS])
 BROADCAST_ROWS = 4_000_000  #: keys (a long each) up to which they are broadcast; beyond, the join shuffles
 _BYTES = -(-SEGMENTS * 23 // 8)
 _codes: list[np.ndarray] = []
@@ -53,22 +55,24 @@ def votes(hashes: np.ndarray) -> np.ndarray:
 
 
 def nearest_codewords(v: np.ndarray) -> np.ndarray:
-    """(n, SEGMENTS, NEAREST) indices of codewords, of votes (n, bits)."""
+    """(n, SEGMENTS, NEAREST) indices of codewords, of votes (n, bits); the best first."""
     if not _codes:
         c = np.array([m << 11 ^ _remainder(m << 11) for m in range(4096)])
         _codes.append((((c[:, None] >> np.arange(23)) & 1) * 2.0 - 1).astype(np.float32).T.copy())
     x = v[:, : SEGMENTS * 23].astype(np.float32).reshape(-1, 23)
-    near = np.argpartition(x @ _codes[0], 4096 - NEAREST, axis=1)[:, 4096 - NEAREST :]
+    score = x @ _codes[0]
+    near = np.argpartition(score, 4096 - NEAREST, axis=1)[:, 4096 - NEAREST :]
+    near = np.take_along_axis(near, np.argsort(-np.take_along_axis(score, near, axis=1), axis=1), axis=1)
     return near.reshape(len(v), SEGMENTS, NEAREST)
 
 
 def soft_keys(near: np.ndarray) -> np.ndarray:
-    """(n, keys): for each three of segments the combinations of their codewords."""
+    """(n, keys): for each three of segments the likely combinations of their codewords."""
     near = near.astype(np.int64)
+    p, q, r = _COMBINATIONS.T
     out = []
     for i, (a, b, c) in enumerate(THREES):
-        k = near[:, a, :, None, None] << 24 | near[:, b, None, :, None] << 12 | near[:, c, None, None, :] | i << 36
-        out.append(k.reshape(len(near), -1))
+        out.append(near[:, a, p] << 24 | near[:, b, q] << 12 | near[:, c, r] | i << 36)
     return np.concatenate(out, axis=1)
 
 

@@ -150,3 +150,13 @@ def test_near_texts_where_the_nearest_fails(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"] for r in nt.drop_near_duplicates(docs).collect()}
     assert len(set(want.tolist())) > 1 and got == set(want.tolist())
+
+
+def test_near_texts_keys_meet():
+    """Pairs at exactly 0.8: hardly any shares no key."""
+    rng, met = np.random.default_rng(8), 0
+    for _ in range(4):
+        h = [rng.integers(0, 1 << 63, 200, dtype=np.uint64) for _ in range(500)]
+        a, b = (nt.soft_keys(nt.nearest_codewords(np.stack([nt.votes(x[s]) for x in h]))) for s in (slice(0, 180), slice(20, 200)))
+        met += sum(len(np.intersect1d(x, y)) > 0 for x, y in zip(a, b))
+    assert met >= 0.995 * 2000
