@@ -140,10 +140,10 @@ def _window_rows(docs: DataFrame, with_place: bool, shingle: int, length: int, f
     return docs.select("_d", "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def _candidate_keys(rows: DataFrame, length: int, functions: int) -> DataFrame:
+def _candidate_keys(rows: DataFrame, length: int) -> DataFrame:
     """rows (key, _d, w): (pk, _d, ab), ab the reach of shingles a << 32 | b, where windows of two functions have room for one passage of the length with both minima.
 
-    Functions are in a ring, and neighbours are paired: if more than half of them agree, two neighbours do.
+    All pairs of functions count.
     """
     ordered = rows.repartition("_d").sortWithinPartitions("_d", "w")
 
@@ -172,8 +172,7 @@ def _candidate_keys(rows: DataFrame, length: int, functions: int) -> DataFrame:
                 break
             p, q = at, at + step
             low, high = np.maximum(left[p], left[q]), np.minimum(right[p], right[q])
-            ring = (j[p] - j[q]) % functions
-            ok = ((ring == 1) | (ring == functions - 1)) & (left[q] <= c[p]) & (high - low + 1 >= length)
+            ok = (j[p] != j[q]) & (left[q] <= c[p]) & (high - low + 1 >= length)
             p, q = p[ok], q[ok]
             swap = j[p] > j[q]
             one, two = np.where(swap, key[q], key[p]).view(np.uint64), np.where(swap, key[p], key[q]).view(np.uint64)
@@ -271,7 +270,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
     again = cut(again)
     known = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
     survivors = _window_rows(keyed, True, shingle, length, functions).join(known, "key").select("key", "_d", "w")
-    keys = cut(_candidate_keys(survivors, length, functions))
+    keys = cut(_candidate_keys(survivors, length))
     chosen = keys.groupBy("pk").agg(F.min("_d").alias("rd"), F.max("_d").alias("last")).where("rd <> last").select("pk", "rd")
     a, b = F.shiftright("ab", 32), F.col("ab").bitwiseAND(F.lit((1 << 32) - 1))
     pairs = cut(keys.join(chosen, "pk").where("_d <> rd").groupBy("_d", "rd").agg(F.min(a).alias("a"), F.max(b).alias("b")))

@@ -94,3 +94,10 @@ def test_blocks_of_a_key(spark, monkeypatch):
     monkeypatch.setattr(cw, "GROUP", 4)
     got = cw.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"] for r in got} == set(range(40))
+
+
+def test_any_two_functions_make_a_key(spark):
+    """Two windows around one passage, of opposite functions."""
+    rows = [(j + 11, 5, (60 + j << 32) | 50 << 22 | 50 << 2 | j) for j in (0, 2)] + [(j + 11, 6, (60 + j << 32) | 50 << 22 | 50 << 2 | j) for j in (1, 3)]
+    got = cw._candidate_keys(spark.createDataFrame(rows, "key long, _d long, w long"), 46).collect()
+    assert sorted(r["_d"] for r in got) == [5, 6]
