@@ -5,8 +5,9 @@ digit is a variable field <*>. In a leaf, a line joins the first earlier line wi
 the lines of such a group differ, the template has a variable field too. Lines whose template occurs in MIN_DOCS documents
 or more are dropped, all but the very first (by doc_id), so that no text is lost altogether.
 
-Only leaves that as many documents reach are parsed further. The lines of a leaf come sorted by range, so a large leaf is
-shared by several tasks: it is parsed in parts and equal templates of the parts count as one. A template with variable fields found by
+Only leaves that as many documents reach are parsed further. A leaf with more than PART distinct lines is parsed in parts, by the
+lines' hash, so that parts do not depend on the partitions. Then leaders of all parts that have SIMILARITY in place are linked,
+by keys of runs of tokens, and the templates of what links connect are one. A template with variable fields found by
 comparison needs LEAST_FIXED fixed tokens, so that short prose is left alone.
 
 Defined results: lines end at \\n; blank lines have no template and stay; null text stays null, with no lines; rows with the same
@@ -24,10 +25,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import cut
+from lodestar.llm.common import components, cut
+from lodestar.llm.golay_simhash import forest
 
 DEPTH, SIMILARITY, MIN_DOCS, LEAST_FIXED = 3, 0.7, 10, 5
 BROADCAST_ROWS = 1_000_000  #: leaves (a long each) up to which they are broadcast; beyond, the join shuffles
+PART = 20_000  #: distinct lines of a leaf, beyond which it is parsed in parts
+BLOCK = 1024  #: leaders with a run key, beyond which they are compared by pairs of blocks
 FIELD = "<*>"
 _VARIABLE = re.compile(r"\S*\d\S*")
 
@@ -106,29 +110,108 @@ def _lines(docs: DataFrame, with_text: bool, depth: int) -> DataFrame:
     return docs.select("doc_id", "text", "_k").mapInArrow(run, "doc_id long, _k long, line int, leaf long, h long, m string" if with_text else "leaf long")
 
 
-def _templates(distinct: DataFrame, similarity: float) -> DataFrame:
+def _templates(distinct: DataFrame, similarity: float, depth: int = DEPTH) -> DataFrame:
     """distinct (leaf, h, m): leaf, h, template."""
-    ordered = distinct.select("leaf", "h", "m").repartitionByRange("leaf", "h").sortWithinPartitions("leaf", "m")
+    distinct = cut(distinct.select("leaf", "h", "m"))
+    large = cut(distinct.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > PART).select("leaf", F.ceil(F.col("n") / PART).cast("int").alias("nb")))
+    ordered = distinct.join(large, "leaf", "left").withColumn("part", F.coalesce(F.pmod("h", "nb").cast("int"), F.lit(-1))).select("leaf", "part", "h", "m")
+    ordered = ordered.repartition("leaf", "part").sortWithinPartitions("leaf", "part", "m", "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, leaf, held = None, None, []
+        at, leaf, held = (None, None), None, []
         for b in batches:
             rows = zip(*(c.to_pylist() for c in b.columns))
-            for key, h, m in rows:
+            for key, part, h, m in rows:
                 tokens = m.split(" ")
-                if key != at or leaf.n != len(tokens):
+                if (key, part) != at or leaf.n != len(tokens):
                     yield from done(at, leaf, held)
-                    at, leaf, held = key, Leaf(len(tokens), similarity), []
-                held.append((h, leaf.add(tokens)))
+                    at, leaf, held, first = (key, part), Leaf(len(tokens), similarity), [], []
+                g = leaf.add(tokens)
+                if g == len(first):
+                    first.append(h)
+                held.append((h, g, first[g]))
         yield from done(at, leaf, held)
 
     def done(at, leaf, held) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(held), 10_000):
             own = held[i : i + 10_000]
-            texts = [" ".join(leaf.templates[g]) for _, g in own]
-            yield pa.record_batch([pa.array(np.full(len(own), at)), pa.array([h for h, _ in own], pa.int64()), pa.array(texts)], names=["leaf", "h", "template"])
+            texts = [" ".join(leaf.templates[g]) for _, g, _ in own]
+            columns = [pa.array(np.full(len(own), at[0])), pa.array(np.full(len(own), at[1], np.int32)), pa.array([h for h, _, _ in own], pa.int64()), pa.array([x for _, _, x in own], pa.int64()), pa.array(texts)]
+            yield pa.record_batch(columns, names=["leaf", "part", "h", "g", "template"])
+
+    found = ordered.mapInArrow(run, "leaf long, part int, h long, g long, template string")
+    if not large.head(1):
+        return found.select("leaf", "h", "template")
+    found = cut(found)
+    parts = found.where("part >= 0")
+    leaders = cut(parts.where("h = g").select("leaf", "h", "template").join(distinct, ["leaf", "h"]))
+    comps = components(_leader_links(leaders, similarity, depth))
+    placed = leaders.join(comps.withColumnRenamed("id", "h"), "h", "left").select("leaf", F.col("h").alias("g"), "template", F.coalesce("component", "h").alias("c"))
+    placed = cut(placed)
+    tokens = placed.select("leaf", "c", F.posexplode(F.split("template", " ")).alias("i", "x")).groupBy("leaf", "c", "i").agg(F.min("x").alias("x"), F.max("x").alias("y"))
+    each = tokens.select("leaf", "c", F.struct("i", F.when(F.col("x") == F.col("y"), F.col("x")).otherwise(FIELD).alias("x")).alias("t"))
+    merged = each.groupBy("leaf", "c").agg(F.array_join(F.transform(F.array_sort(F.collect_list("t")), lambda t: t["x"]), " ").alias("template"))
+    named = placed.select("leaf", "g", "c").join(merged, ["leaf", "c"]).select("leaf", "g", "template")
+    return found.where("part < 0").select("leaf", "h", "template").unionByName(parts.select("leaf", "h", "g").join(cut(named), ["leaf", "g"]).select("leaf", "h", "template"))
+
+
+def _leader_links(leaders: DataFrame, similarity: float, depth: int) -> DataFrame:
+    """leaders (leaf, h, m): links (u, v) that connect leaders of a leaf with at least the similarity of their tokens in place.
+
+    A leaf's lines have the same first tokens, so the others are split into one run more than tokens may differ: such lines
+    share a run.
+    """
 
-    return ordered.mapInArrow(run, "leaf long, h long, template string")
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for leaf, h, m in zip(*(c.to_pylist() for c in b.columns)):
+                tokens = m.split(" ")
+                most, rest = int(len(tokens) * (1 - similarity) + 1e-9), tokens[depth:]
+                runs = 1 if len(rest) <= most else most + 1  # so few tokens that all may differ: the leaf is one run
+                for i in range(runs):
+                    run = [] if len(rest) <= most else rest[i * len(rest) // runs : (i + 1) * len(rest) // runs]
+                    out.append((xxhash.xxh64_intdigest(f"{leaf} {i} {' '.join(run)}".encode("utf-8", "replace"), 3) - (1 << 63), h, m))
+            if out:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.string()))], names=["k", "h", "m"])
+
+    rows = cut(leaders.select("leaf", "h", "m").mapInArrow(keyed, "k long, h long, m string"))
+    sizes = rows.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"))
+    mine = F.pmod(F.xxhash64("h"), F.col("nb")).cast("int")
+    spread = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j")))
+    dealt = rows.join(sizes, "k").withColumn("at", F.explode(spread)).select("k", F.col("at.i").alias("i"), F.col("at.j").alias("j"), "h", "m")
+    dealt = dealt.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j", "h")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for b in batches:
+            for k, i, j, h, m in zip(*(c.to_pylist() for c in b.columns)):
+                if (k, i, j) != at:
+                    yield from linked(held)
+                    at, held = (k, i, j), []
+                held.append((h, m.split(" ")))
+        yield from linked(held)
+
+    def linked(held: list) -> Iterator[pa.RecordBatch]:
+        if len(held) < 2 or len({len(t) for _, t in held}) > 1:
+            return
+        ids: dict[str, int] = {}
+        x = np.array([[ids.setdefault(t, len(ids)) for t in tokens] for _, tokens in held])
+        h, most = np.array([h for h, _ in held], np.int64), int(x.shape[1] * (1 - similarity) + 1e-9)
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for i in range(len(x) - 1):
+            hit = i + 1 + np.flatnonzero((x[i + 1 :] != x[i]).sum(axis=1) <= most)
+            a.append(np.full(len(hit), i))
+            b.append(hit)
+            if sum(map(len, a)) > 500_000:
+                label = forest(len(x), np.concatenate(a), np.concatenate(b))
+                a, b = [np.arange(len(x))], [label]
+        label = forest(len(x), np.concatenate(a), np.concatenate(b))
+        some = label != np.arange(len(x))
+        if some.any():
+            yield pa.record_batch([pa.array(h[some]), pa.array(h[label[some]])], names=["u", "v"])
+
+    return dealt.mapInArrow(compare, "u long, v long")
 
 
 def recurring_lines(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY, min_docs: int = MIN_DOCS, least_fixed: int = LEAST_FIXED) -> DataFrame:
@@ -136,7 +219,7 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, similarity: float = SIM
     leaves = cut(_lines(docs, False, depth).groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf"))
     few = leaves.count() <= BROADCAST_ROWS
     lines = cut(_lines(docs, True, depth).join(F.broadcast(leaves) if few else leaves, "leaf").select("doc_id", "_k", "line", "leaf", "h", "m"))
-    found = _templates(lines.groupBy("leaf", "h").agg(F.min("m").alias("m")), similarity)
+    found = _templates(lines.groupBy("leaf", "h").agg(F.min("m").alias("m")), similarity, depth)
     fields = F.filter(F.split("template", " "), lambda t: t != FIELD)
     sure = (F.size(fields) >= least_fixed) | (F.col("template") == F.col("m"))
     named = lines.join(found, ["leaf", "h"]).withColumn("template", F.when(sure, F.col("template")).otherwise(F.col("m")))

@@ -67,3 +67,24 @@ def test_edges(edge, none):
     assert by[6]["text"].startswith("le chat") and by[7]["text"] == "" and by[7]["n_dropped"] == 1
     assert lt.drop_lines(none.drop("n_dropped")).count() == 0
     assert lt.drop_lines(edge, ("a", "b")).columns == [*edge.columns, "a", "b"]
+
+
+def test_hot_leaf_does_not_depend_on_partitions(spark, monkeypatch):
+    """A template with a word that changes, in a leaf of many parts and partitions."""
+    names = ["".join(chr(97 + i // 26**j % 26) for j in range(3)) for i in range(3, 9000, 720)]
+    texts = [f"{n} says x{n}\nPosted by the user {n} on our friendly local news forum" for n in names]
+    other = [f"Posted by the q{chr(97 + i % 26)}{chr(97 + i // 26)} " + " ".join(f"{c}{chr(97 + i % 26)}{chr(97 + i // 26)}" for c in "abcdefg") for i in range(300)]
+    whole = texts_of(lt.drop_lines(docs_of(spark, texts + other), min_docs=10))
+    assert sum("Posted by the user" in t for t in whole.values()) == 1
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "12")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        assert texts_of(lt.drop_lines(docs_of(spark, texts + other), min_docs=10)) == whole
+        monkeypatch.setattr(lt, "PART", 20, raising=False)
+        assert texts_of(lt.drop_lines(docs_of(spark, texts + other), min_docs=10)) == whole
+        monkeypatch.setattr(lt, "BLOCK", 8, raising=False)
+        assert texts_of(lt.drop_lines(docs_of(spark, texts + other), min_docs=10)) == whole
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
