@@ -6,7 +6,7 @@ passage of `min_words` words are kept, about two for each such length of text. D
 meet there. Where windows of two functions or more meet in one passage (an interval join within a document), their minima
 together are a candidate key; of the documents with this key, one stands for all and each other is verified against it
 on the shingles of both: passages of at least min_words words whose Jaccard similarity is at least `similarity`. A document
-without such a passage where its key lies goes on to all others with the key, until one has a passage with it.
+whose key has room for a passage in reach beside those verified goes on to all others with the key, until one has a passage with it.
 
 Windows reach at most HORIZON shingles from their minimum: longer repeats have several. Windows in a row with the same
 minimum (a shingle that repeats) count as one. Only windows whose minimum occurs in another document are joined.
@@ -344,25 +344,28 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
     both = left.join(named, ["rd", "turn"]).select("_d", "doc_id", "rd", "a", "region", "class_id", "class_text")
     first = cut(both.mapInArrow(verify, f"_d long, rd long, {schema}"))
 
-    # where a key has no verified passage in reach, its document goes on to the others with the key, if there are any but the representative
+    # where a key's reach has room for a passage beside the verified ones, its document goes on to the others with the key, if there
+    # are any but the representative
     tried = keys.join(chosen, "pk").where("_d <> rd").select("pk", "_d", "rd", a.alias("a"), b.alias("b"))
-    spans = first.select("_d", "rd", F.col("start_word").alias("s"), (F.col("start_word") + F.col("n_words") - shingle).alias("e"))
-    common = F.least("b", "e") - F.greatest("a", "s") + 1 >= length
-    failed = cut(tried.join(spans.withColumnsRenamed({"_d": "_sd", "rd": "_sr"}), (F.col("_d") == F.col("_sd")) & (F.col("rd") == F.col("_sr")) & common, "left_anti").select("pk", "_d"))
+    known = first.select("_d", F.col("start_word").alias("s"), "n_words").union(first.select("rd", "class_start_word", "class_n_words"))
+    spans = known.select(F.col("_d").alias("_sd"), "s", (F.col("s") + F.col("n_words") - shingle).alias("e")).distinct()
+    fills = (F.least("b", "e") - F.greatest("a", "s") + 1 >= length) & (F.col("s") - F.col("a") < length) & (F.col("b") - F.col("e") < length)
+    failed = cut(tried.join(spans, (F.col("_d") == F.col("_sd")) & fills, "left_anti").select("pk", "_d"))
     large = keys.groupBy("pk").agg(F.count("*").alias("n")).where("n > 2")
     still = failed.groupBy("pk").agg(F.count("*").alias("_open")).join(large, "pk").select("pk", F.ceil(F.col("n") / GROUP).cast("int").alias("nb"))
     group = keys.join(still, "pk").join(failed.withColumn("is_open", F.lit(True)), ["pk", "_d"], "left").select("pk", "_d", "nb", F.coalesce("is_open", F.lit(False)).alias("is_open"), a.alias("a"), b.alias("b"))
-    # keys with the same documents are one; regions have room around them, as their passages may go on
+    # keys with the same documents are one
     sums = group.groupBy("pk").agg(F.sum(F.xxhash64("_d", "is_open").cast("decimal(38,0)")).alias("x"), F.count("*").alias("n"))
     alike = sums.select("pk", F.xxhash64("x", "n").alias("key"))
-    group = group.join(alike, "pk").groupBy("key", "_d").agg(F.min("nb").alias("nb"), F.max("is_open").alias("is_open"), F.greatest(F.min("a") - length, F.lit(0)).alias("a"), (F.max("b") + length).alias("b"))
-    group = cut(group.withColumn("own", F.pmod(F.xxhash64("_d"), F.col("nb")).cast("int")))
+    group = group.join(alike, "pk").groupBy("key", "_d").agg(F.min("nb").alias("nb"), F.max("is_open").alias("is_open"), F.min("a").alias("a"), F.max("b").alias("b"))
+    group = cut(group)
     some = group.select("_d").distinct()
     source = keyed.join(F.broadcast(some) if some.count() <= BROADCAST_ROWS else some, "_d", "left_semi").dropDuplicates(["_d"])
-    parts = group.join(source, "_d").select("_d", "doc_id", "text", "key", F.lit(0).alias("turn"), "a", "b")
-    cutout = parts.mapInArrow(regions, "_d long, doc_id long, key long, turn int, a long, region string").drop("turn")
-    spread = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda x: F.struct(F.least("own", x).alias("i"), F.greatest("own", x).alias("j")))
-    dealt = cutout.join(group.select("key", "_d", "nb", "own", "is_open"), ["key", "_d"]).withColumn("at", F.explode(spread))
+    parts = group.join(source, "_d").select("_d", "doc_id", "text", "key", (F.col("nb") * 2 + F.col("is_open").cast("int")).alias("turn"), "a", "b")
+    cutout = parts.mapInArrow(regions, "_d long, doc_id long, key long, turn int, a long, region string")
+    nb, own = F.floor(F.col("turn") / 2).cast("int"), F.pmod(F.xxhash64("_d"), F.floor(F.col("turn") / 2)).cast("int")
+    spread = F.transform(F.sequence(F.lit(0), nb - 1), lambda x: F.struct(F.least(own, x).alias("i"), F.greatest(own, x).alias("j")))
+    dealt = cutout.withColumn("is_open", F.col("turn") % 2 == 1).withColumn("at", F.explode(spread))
     dealt = dealt.select("key", F.col("at.i").alias("i"), F.col("at.j").alias("j"), "_d", "is_open", "doc_id", "a", "region")
     later = cut(dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "_d").mapInArrow(compare, schema))
     members = cut(first.select(*names).unionByName(later).distinct())
