@@ -5,8 +5,10 @@ compact windows (l, c, r): every passage [a, b] with l <= a <= c <= b <= r has i
 passage of `min_words` words are kept, about two for each such length of text. Documents that share a window's minimum
 meet there. Where windows of two functions or more meet in one passage (an interval join within a document), their minima
 together are a candidate key; of the documents with this key, one stands for all and each other is verified against it
-on the shingles of both: passages of at least min_words words whose Jaccard similarity is at least `similarity`. A document
-whose key has room for a passage in reach beside those verified goes on to all others with the key, until one has a passage with it.
+on the shingles of both: passages of at least min_words words whose Jaccard similarity is at least `similarity`. Where this
+leaves documents of a key unconnected (by passages of any key), all that differ in the key's reach are compared: each with
+those of the other components, until no two that share a passage are in different ones. So documents are connected as all
+pairs would connect them, but those that are connected already need not have a row for every passage they share.
 
 Windows reach at most HORIZON shingles from their minimum: longer repeats have several. Windows in a row with the same
 minimum (a shingle that repeats) count as one. Only windows whose minimum occurs in another document are joined.
@@ -22,10 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import cut
+from lodestar.llm.common import components, cut
 from lodestar.llm.golay_simhash import shingle_hashes, words
 
 SHINGLE, MIN_WORDS, SIMILARITY, FUNCTIONS = 5, 50, 0.8, 4
@@ -33,7 +36,9 @@ LEVELS = 7
 HORIZON = (1 << LEVELS) - 1  #: enough for a passage of min_words words to both sides
 BLOCK = 32_000  #: shingles worked on at a time, so that arrays stay in the cache
 PER_TASK = 500  #: regions that a task holds against one representative
-GROUP = 1024  #: regions of a key, beyond which they are compared by pairs of blocks
+GROUP = 1024  #: different regions of a key, beyond which they are compared by pairs of blocks
+SLACK = 0.05  #: by which the best window of a passage may look less similar than the passage
+CELLS = 1_000_000  #: places of regions looked up at once
 BROADCAST_ROWS = 4_000_000  #: keys (a long each) up to which they are broadcast; beyond, the join shuffles
 
 
@@ -202,7 +207,8 @@ def passages(a: np.ndarray, b: np.ndarray, length: int, similarity: float) -> li
     """(start, stop, start, stop, similarity) of passages of shingles a and b that are near-duplicates; stops are exclusive.
 
     Runs of a's shingles that b has are joined over gaps of up to two changed words; each is held against the run of b
-    that shares most with it. What does not pass is tried again with smaller gaps, down to none.
+    that shares most with it. What does not pass is tried again with smaller gaps, down to none, and at last by all
+    windows of the length, which may begin and end with words that the other lacks.
     """
     there = np.isin(a, b)
     out: list[tuple[int, int, int, int, float]] = []
@@ -217,46 +223,119 @@ def passages(a: np.ndarray, b: np.ndarray, length: int, similarity: float) -> li
                 x, best = np.unique(a[s:e]), (0.0, 0, 0)
                 for bs, be in _runs(np.isin(b, x), gap):
                     if be - bs >= length * similarity:
-                        y = np.unique(b[bs:be])
-                        both = len(np.intersect1d(x, y, assume_unique=True))
-                        best = max(best, (both / (len(x) + len(y) - both), bs, be))
+                        best = max(best, (_jaccard(x, b[bs:be]), bs, be))
                 if best[0] >= similarity:
                     out.append((s, e, best[1], best[2], best[0]))
                 else:
                     again.append((s, e))
         todo = again
-    return sorted(out)
+    for s, e, *_ in out:
+        there[s:e] = False
+    return sorted(out + _by_windows(a, b, there, length, similarity))
 
 
-def partners(sets: list[np.ndarray], wanted: list[bool], length: int, similarity: float) -> Iterator[tuple[int, int, list]]:
-    """(i, j, passages) of regions (their shingles in order): for each wanted i, the first j that has passages with it; not if an i before
-    has it as its j.
+def _jaccard(x: np.ndarray, b: np.ndarray) -> float:
+    """x is distinct."""
+    y = np.unique(b)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both)
 
-    A pair is tried if it shares as many shingles as the least passage needs; which ones do is looked up, so that regions
-    with only a short text in common cost nothing.
+
+def _by_windows(a: np.ndarray, b: np.ndarray, there: np.ndarray, length: int, similarity: float) -> list[tuple[int, int, int, int, float]]:
+    """Passages of a among its windows of the length; there tells which of its shingles are to be found in b."""
+    if min(len(a), len(b)) < length:
+        return []
+    hits = np.convolve(there, np.ones(length, np.int64), "valid")
+    if hits.max() < similarity * length:
+        return []
+    order = np.argsort(b, kind="stable")
+    place = order[np.minimum(np.searchsorted(b, a, sorter=order), len(b) - 1)]
+    low, high = _sliding(np.minimum, np.where(there, place, len(b)), length), _sliding(np.maximum, np.where(there, place, -1), length)
+    guess = hits / (length + np.maximum(high - low + 1, length) - hits)
+    good = np.flatnonzero(guess >= similarity - 1e-9)
+    out = []
+    for own in np.split(good, np.flatnonzero(np.diff(good) > 1) + 1) if len(good) else []:
+        best = int(own[guess[own].argmax()])
+        for s, e in ((int(own[0]), int(own[-1]) + length), (best, best + length)):
+            bs, be = int(low[s : e - length + 1].min()), int(high[s : e - length + 1].max()) + 1
+            hit = s + np.flatnonzero(there[s:e])
+            if hit[-1] - hit[0] + 1 >= length:
+                s, e = int(hit[0]), int(hit[-1]) + 1
+            elif e - s > length:
+                continue
+            if be - bs < length:  # as far before its first common shingle as a begins before it
+                bs = max(0, bs - int(hit[0] - s))
+                be = min(len(b), bs + length)
+                bs = be - length
+            if (j := _jaccard(np.unique(a[s:e]), b[bs:be])) >= similarity:
+                out.append((s, e, bs, be, j))
+                break
+    return out
+
+
+def partners(sets: list[np.ndarray], label: list[int], length: int, similarity: float) -> Iterator[tuple[int, int, list]]:
+    """(i, j, passages) of regions (their shingles in order) of different labels, until those that have passages with each other are
+    connected by labels and what came out.
+
+    All regions are looked up at once: their number of common shingles, then for each window of i the common ones and their
+    spread in j, tell which j can have a passage; only these are compared, the likeliest first.
     """
-    distinct = [np.unique(h) for h in sets]
-    owner = np.repeat(np.arange(len(sets)), [len(u) for u in distinct])
-    flat = np.concatenate(distinct)
+    n, sizes = len(sets), np.array([len(h) for h in sets])
+    label = np.unique(label, return_inverse=True)[1]
+    offset = np.concatenate([[0], np.cumsum(sizes)])
+    flat = np.concatenate(sets)
     order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    covered = np.zeros(len(sets), bool)
-    for i in np.flatnonzero(wanted).tolist():
-        if covered[i]:
+    new = np.concatenate([[True], flat[order][1:] != flat[order][:-1]])
+    ids = np.empty(len(flat), np.int64)
+    ids[order] = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    count = np.diff(np.append(first, len(flat)))
+    owner = np.repeat(np.arange(n), sizes)[order]
+    place = order - offset[owner]
+    again = np.concatenate([[False], ~new[1:] & (owner[1:] == owner[:-1])])
+    distinct = np.bincount(owner[~again], minlength=n)
+    for i in np.flatnonzero(label != np.bincount(label).argmax()).tolist():  # what the others have with the most common is found from their side
+        own = ids[offset[i] : offset[i + 1]]
+        k = count[own]
+        least = max(1, int(np.ceil(similarity * (length - (len(own) - int(distinct[i]))) - 1e-9)))
+        if (label == label[i]).all() or (k > 1).sum() < least - (len(own) - int(distinct[i])):
             continue
-        u = distinct[i]
-        least = max(1, int(np.ceil(similarity * (length - (len(sets[i]) - len(u))) - 1e-9)))
-        first, stop = np.searchsorted(flat, u, "left"), np.searchsorted(flat, u, "right")
-        shared = stop - first > 1
-        if shared.sum() < least:
-            continue
-        n = np.bincount(np.concatenate([owner[a:b] for a, b in zip(first[shared].tolist(), stop[shared].tolist())]), minlength=len(sets))
-        n[i] = 0
-        for j in np.flatnonzero(n >= least).tolist():
-            if found := passages(sets[i], sets[j], length, similarity):
-                covered[i] = covered[j] = True
-                yield i, j, found
-                break
+        at = np.repeat(first[own] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+        t, who, where = np.repeat(np.arange(len(own)), k), owner[at], place[at]
+        shared = np.bincount(who, minlength=n)
+        able = np.flatnonzero((shared >= least) & (label != label[i]))
+        if len(able):
+            guess = _estimates(t, who, where, able, len(own), n, length, sizes[able] > distinct[able])
+            for x in np.argsort(-guess, kind="stable").tolist():
+                j = int(able[x])
+                if guess[x] < similarity - SLACK:
+                    break
+                if label[i] != label[j] and (found := passages(sets[i], sets[j], length, similarity)):
+                    label[label == label[j]] = label[i]
+                    yield i, j, found
+
+
+def _estimates(t: np.ndarray, who: np.ndarray, where: np.ndarray, able: np.ndarray, size: int, n: int, length: int, repeats: np.ndarray) -> np.ndarray:
+    """For each able region the best similarity of a window of the length, by its common shingles (place t here, place `where` in region `who`)."""
+    out = np.zeros(len(able))
+    if size < length:
+        return out
+    for lo in range(0, len(able), max(1, CELLS // size)):
+        some = able[lo : lo + max(1, CELLS // size)]
+        column = np.full(n, -1)
+        column[some] = np.arange(len(some))
+        c = column[who]
+        on = c >= 0
+        places = np.full((size, len(some)), -1, np.int32)
+        places[t[on], c[on]] = where[on]
+        there = places >= 0
+        total = np.concatenate([np.zeros((1, len(some)), np.int32), np.cumsum(there, axis=0, dtype=np.int32)])
+        hits = total[length:] - total[:-length]
+        high = _sliding(np.maximum, places, length)
+        low = _sliding(np.minimum, np.where(there, places, np.int32(2**31 - 1)), length)
+        span = np.where(repeats[lo : lo + len(some)], length, np.maximum(high - low + 1, length))
+        out[lo : lo + len(some)] = np.where(hits > 0, hits / (length + span - np.minimum(hits, length)), 0).max(axis=0)
+    return out
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, shingle: int = SHINGLE, functions: int = FUNCTIONS) -> DataFrame:
@@ -294,6 +373,32 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
             if out:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["_d", "doc_id", "key", "turn", "a", "region"])
 
+    def listed_in(batch: pa.RecordBatch, i: int) -> tuple:
+        """The words of row i, then its entries: a key, first and last shingle, and what else there is."""
+        pk, ab, *more = batch.column(3).slice(i, 1).flatten().flatten()
+        ab = ab.to_numpy()
+        return words(batch.column(2)[i].as_py()), pk.to_pylist(), (ab >> 32).tolist(), (ab & (1 << 32) - 1).tolist(), *more
+
+    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own, pk, a, b = listed_in(batch, i)
+                joined, n = b" ".join(own), len(pk)
+                stops = [0, *np.cumsum([len(w) + 1 for w in own]).tolist()]
+                r = np.array([xxhash.xxh64_intdigest(joined[stops[s] : stops[e + shingle] - 1], 9) for s, e in zip(a, b)], np.uint64)
+                d, doc_id, c = (pa.repeat(batch.column(x)[i], n) for x in (0, 1, 4))
+                yield pa.record_batch([pa.array(pk), d, doc_id, c, pa.array(a), pa.array(b), pa.array(r.view(np.int64))], names=["key", "_d", "doc_id", "c", "a", "b", "r"])
+
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own, pk, a, b, at = listed_in(batch, i)
+                for lo in range(0, len(pk), 1000):
+                    n = len(pk[lo : lo + 1000])
+                    region = [b" ".join(own[s : e + shingle]).decode() for s, e in zip(a[lo : lo + n], b[lo : lo + n])]
+                    d, doc_id, c = (pa.repeat(batch.column(x)[i], n) for x in (0, 1, 4))
+                    yield pa.record_batch([pa.array(pk[lo : lo + n]), at.slice(lo, n), d, c, doc_id, pa.array(a[lo : lo + n]), pa.array(region)], names=["key", "at", "_d", "c", "doc_id", "a", "region"])
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = h = order = None
         for batch in batches:
@@ -317,11 +422,11 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
         at, held = None, []
         for batch in batches:
             out = []
-            for key, i, j, _, is_open, doc_id, a, region in zip(*(c.to_pylist() for c in batch.columns)):
+            for key, i, j, _, c, doc_id, a, region in zip(*(c.to_pylist() for c in batch.columns)):
                 if (key, i, j) != at:
                     out += settled(held)
                     at, held = (key, i, j), []
-                held.append((doc_id, a, is_open, shingle_hashes(region, shingle)))
+                held.append((doc_id, a, c, shingle_hashes(region, shingle)))
             if out:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
         if out := settled(held):
@@ -344,31 +449,32 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
     both = left.join(named, ["rd", "turn"]).select("_d", "doc_id", "rd", "a", "region", "class_id", "class_text")
     first = cut(both.mapInArrow(verify, f"_d long, rd long, {schema}"))
 
-    # where a key's reach has room for a passage beside the verified ones, its document goes on to the others with the key, if there
-    # are any but the representative
-    tried = keys.join(chosen, "pk").where("_d <> rd").select("pk", "_d", "rd", a.alias("a"), b.alias("b"))
-    known = first.select("_d", F.col("start_word").alias("s"), "n_words").union(first.select("rd", "class_start_word", "class_n_words"))
-    spans = known.select(F.col("_d").alias("_sd"), "s", (F.col("s") + F.col("n_words") - shingle).alias("e")).distinct()
-    fills = (F.least("b", "e") - F.greatest("a", "s") + 1 >= length) & (F.col("s") - F.col("a") < length) & (F.col("b") - F.col("e") < length)
-    failed = cut(tried.join(spans, (F.col("_d") == F.col("_sd")) & fills, "left_anti").select("pk", "_d"))
-    large = keys.groupBy("pk").agg(F.count("*").alias("n")).where("n > 2")
-    still = failed.groupBy("pk").agg(F.count("*").alias("_open")).join(large, "pk").select("pk", F.ceil(F.col("n") / GROUP).cast("int").alias("nb"))
-    group = keys.join(still, "pk").join(failed.withColumn("is_open", F.lit(True)), ["pk", "_d"], "left").select("pk", "_d", "nb", F.coalesce("is_open", F.lit(False)).alias("is_open"), a.alias("a"), b.alias("b"))
+    # what is left unconnected within a key
+    comps = components(first.select(F.col("_d").alias("u"), F.col("rd").alias("v"))).withColumnRenamed("id", "_d")
+    placed = keys.join(comps, "_d", "left").select("pk", "_d", "ab", F.coalesce("component", "_d").alias("c"))
+    still = placed.groupBy("pk").agg(F.count("*").alias("n"), F.min("c").alias("least"), F.max("c").alias("most")).where("n > 2 AND least <> most").select("pk")
+    # what a document has in its keys' reach, by hash; equal ones are one region
+    entries = cut(placed.join(still, "pk").groupBy("_d", "c").agg(F.collect_list(F.struct("pk", "ab")).alias("e")))
+    some = entries.select("_d")
+    source = cut(keyed.join(F.broadcast(some) if some.count() <= BROADCAST_ROWS else some, "_d", "left_semi").dropDuplicates(["_d"]))
+    hashed = cut(entries.join(source, "_d").select("_d", "doc_id", "text", "e", "c").mapInArrow(contents, "key long, _d long, doc_id long, c long, a long, b long, r long"))
+    classes = cut(hashed.groupBy("key", "r").agg(F.min(F.struct("_d", "doc_id", "c", "a", "b")).alias("s"), F.min("c").alias("least"), F.max("c").alias("most")))
+    # documents of several components with the same in reach
+    alike = hashed.join(classes.where("least <> most").select("key", "r", "s"), ["key", "r"]).where("c <> s.c")
+    words_of = (F.col("b") - F.col("a") + shingle).alias("n_words")
+    copies = alike.select("doc_id", F.col("a").alias("start_word"), words_of, F.col("s.doc_id").alias("class_doc_id"), F.col("s.a").alias("class_start_word"), words_of.alias("class_n_words"), F.lit(1.0).alias("similarity")).distinct()
+    # two regions of a key have been compared already: one is that of the document that stands for it
+    kinds_of = classes.groupBy("key").agg(F.count("*").alias("kinds"), F.sum(F.xxhash64("s._d").cast("decimal(38,0)")).alias("x"), F.min("s.c").alias("least"), F.max("s.c").alias("most"))
+    open_keys = kinds_of.where("kinds > 2 AND least <> most").select("key", F.xxhash64("x", "kinds").alias("k"), F.ceil(F.col("kinds") / GROUP).cast("int").alias("nb"))
     # keys with the same documents are one
-    sums = group.groupBy("pk").agg(F.sum(F.xxhash64("_d", "is_open").cast("decimal(38,0)")).alias("x"), F.count("*").alias("n"))
-    alike = sums.select("pk", F.xxhash64("x", "n").alias("key"))
-    group = group.join(alike, "pk").groupBy("key", "_d").agg(F.min("nb").alias("nb"), F.max("is_open").alias("is_open"), F.min("a").alias("a"), F.max("b").alias("b"))
-    group = cut(group)
-    some = group.select("_d").distinct()
-    source = keyed.join(F.broadcast(some) if some.count() <= BROADCAST_ROWS else some, "_d", "left_semi").dropDuplicates(["_d"])
-    parts = group.join(source, "_d").select("_d", "doc_id", "text", "key", (F.col("nb") * 2 + F.col("is_open").cast("int")).alias("turn"), "a", "b")
-    cutout = parts.mapInArrow(regions, "_d long, doc_id long, key long, turn int, a long, region string")
-    nb, own = F.floor(F.col("turn") / 2).cast("int"), F.pmod(F.xxhash64("_d"), F.floor(F.col("turn") / 2)).cast("int")
-    spread = F.transform(F.sequence(F.lit(0), nb - 1), lambda x: F.struct(F.least(own, x).alias("i"), F.greatest(own, x).alias("j")))
-    dealt = cutout.withColumn("is_open", F.col("turn") % 2 == 1).withColumn("at", F.explode(spread))
-    dealt = dealt.select("key", F.col("at.i").alias("i"), F.col("at.j").alias("j"), "_d", "is_open", "doc_id", "a", "region")
+    group = classes.select("key", "s.*").join(open_keys, "key").groupBy("k", "_d", "c").agg(F.min("nb").alias("nb"), F.min("a").alias("a"), F.max("b").alias("b"))
+    mine = F.pmod(F.xxhash64("_d"), F.col("nb")).cast("int")
+    spread = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda x: F.struct(F.least(mine, x).alias("i"), F.greatest(mine, x).alias("j")))
+    listed = cut(group.groupBy("_d", "c").agg(F.collect_list(F.struct(F.col("k").alias("pk"), (F.shiftleft("a", 32) + F.col("b")).alias("ab"), spread.alias("at"))).alias("e")))
+    cutout = listed.join(source, "_d").select("_d", "doc_id", "text", "e", "c").mapInArrow(cut_out, "key long, at array<struct<i:int,j:int>>, _d long, c long, doc_id long, a long, region string")
+    dealt = cutout.withColumn("at", F.explode("at")).select("key", F.col("at.i").alias("i"), F.col("at.j").alias("j"), "_d", "c", "doc_id", "a", "region")
     later = cut(dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "_d").mapInArrow(compare, schema))
-    members = cut(first.select(*names).unionByName(later).distinct())
+    members = cut(first.select(*names).unionByName(later).unionByName(copies).distinct())
     own = members.select(F.col("class_doc_id").alias("doc_id"), F.col("class_start_word").alias("start_word"), F.col("class_n_words").alias("n_words")).distinct()
     own = own.select("doc_id", "start_word", "n_words", F.col("doc_id").alias("class_doc_id"), F.col("start_word").alias("class_start_word"), F.col("n_words").alias("class_n_words"), F.lit(1.0).alias("similarity"))
     return members.unionByName(own)

@@ -4,6 +4,7 @@ from collections import defaultdict
 import numpy as np
 
 from lodestar.llm import compact_windows as cw
+from lodestar.llm.golay_simhash import forest
 
 
 def prose(n, seed):
@@ -101,3 +102,75 @@ def test_any_two_functions_make_a_key(spark):
     rows = [(j + 11, 5, (60 + j << 32) | 50 << 22 | 50 << 2 | j) for j in (0, 2)] + [(j + 11, 6, (60 + j << 32) | 50 << 22 | 50 << 2 | j) for j in (1, 3)]
     got = cw._candidate_keys(spark.createDataFrame(rows, "key long, _d long, w long"), 46).collect()
     assert sorted(r["_d"] for r in got) == [5, 6]
+
+
+def copies_of(words, n, seed, low=0.8, high=0.86):
+    """n edited copies, each at a similarity of five-word shingles from low to high with the original."""
+    rng, out, sets = random.Random(seed), [], lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    while len(out) < n:
+        own = list(words)
+        for p in rng.sample(range(len(own)), rng.randrange(1, 6)):
+            own[p] = f"x{rng.randrange(10**6)}"
+        a, b = sets(words), sets(own)
+        if low <= len(a & b) / len(a | b) <= high:
+            out.append(own)
+    return out
+
+
+def test_families_of_edited_copies(spark):
+    """A passage and 20 copies that are near it, but mostly not near each other, each in a document of its own: all are connected."""
+    rows, family = [], {}
+    for f in range(12):
+        passage = prose(100, 50_000 + f)
+        for w in [passage, *copies_of(passage, 20, f)]:
+            i = len(rows)
+            family[i] = f
+            rows.append((i, " ".join(prose(50, 60_000 + i) + w + prose(50, 70_000 + i))))
+    got = cw.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(family[r["doc_id"]] == family[r["class_doc_id"]] for r in got)
+    links = np.array([(r["doc_id"], r["class_doc_id"]) for r in got])
+    label = forest(len(rows), links[:, 0], links[:, 1])
+    joined = sum(max(list(label[f * 21 : f * 21 + 21]).count(x) for x in label[f * 21 : f * 21 + 21]) for f in range(12))
+    assert joined >= 0.97 * len(rows)
+
+
+def test_pairs_near_the_threshold(spark):
+    """Recall of single pairs at 0.8 to 0.86, passages of 60 to 150 words."""
+    rows = []
+    for f in range(150):
+        passage = prose(60 + f % 90, 80_000 + f)
+        for w in (passage, copies_of(passage, 1, f)[0]):
+            rows.append((len(rows), " ".join(prose(40, 90_000 + len(rows)) + w + prose(40, 95_000 + len(rows)))))
+    got = {(r["doc_id"], r["class_doc_id"]) for r in cw.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(a // 2 == b // 2 for a, b in got) and len({a // 2 for a, b in got if a != b}) >= 0.95 * 150
+
+
+def test_passages_against_all_windows():
+    """Whatever window of one text has a window of the other at 0.8 or more is found, edits at the ends and dense edits included."""
+    rng, hit, want = random.Random(2), 0, 0
+    for turn in range(120):
+        base = prose(rng.randrange(50, 120), turn)
+        own = list(base)
+        for p in rng.sample(range(len(own)), rng.randrange(0, 7)):
+            own[p] = f"x{p}"
+        a, b = (cw.shingle_hashes(" ".join(w), 5) for w in (base, own))
+        near = any(len(x & y) >= 0.8 * len(x | y) for i in range(len(a) - 45) for x in [set(a[i : i + 46].tolist())] for y in [set(b[i : i + 46].tolist())])
+        found = cw.passages(a, b, 46, 0.8)
+        assert all(len(set(a[s:e].tolist()) & set(b[x:y].tolist())) >= 0.8 * len(set(a[s:e].tolist()) | set(b[x:y].tolist())) and min(e - s, y - x) >= 37 for s, e, x, y, _ in found)
+        want += near
+        hit += near and bool(found)
+    assert want > 60 and hit == want
+
+
+def test_edit_near_the_start_and_dense_edits():
+    base = prose(50, 1)
+    own = list(base)
+    own[3] = "x"
+    a, b = (cw.shingle_hashes(" ".join(w), 5) for w in (base, own))
+    assert cw.passages(a, b, 46, 0.8) and cw.passages(b, a, 46, 0.8)
+    base = prose(200, 2)
+    own = list(base)
+    for p in [*range(5, 70, 9), 100, *range(135, 200, 9)]:
+        own[p] = "x"
+    a, b = (cw.shingle_hashes(" ".join(w), 5) for w in (base, own))
+    assert any(s <= 75 and e >= 120 for s, e, *_ in cw.passages(a, b, 46, 0.8))
