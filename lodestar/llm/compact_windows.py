@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import components, cut
+from lodestar.llm.common import components, cut, remove, stored
 from lodestar.llm.golay_simhash import shingle_hashes, words
 
 SHINGLE, MIN_WORDS, SIMILARITY, FUNCTIONS = 5, 50, 0.8, 4
@@ -349,10 +349,15 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
     again = cut(again)
     known = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
     survivors = _window_rows(keyed, True, shingle, length, functions).join(known, "key").select("key", "_d", "w")
-    keys = cut(_candidate_keys(survivors, length))
-    chosen = keys.groupBy("pk").agg(F.min("_d").alias("rd"), F.max("_d").alias("last")).where("rd <> last").select("pk", "rd")
+    keys, place = stored(_candidate_keys(survivors, length))
+    chosen = cut(keys.groupBy("pk").agg(F.min("_d").alias("rd"), F.max("_d").alias("last"), F.max_by("ab", "_d").alias("ab"), F.count("*").alias("n")).where("rd <> last"))
     a, b = F.shiftright("ab", 32), F.col("ab").bitwiseAND(F.lit((1 << 32) - 1))
-    pairs = cut(keys.join(chosen, "pk").where("_d <> rd").groupBy("_d", "rd").agg(F.min(a).alias("a"), F.max(b).alias("b")))
+    # of keys with three documents or more, all are looked up; of two, the groups have both
+    large = chosen.where("n > 2").select("pk", "rd")
+    several, rest = stored(keys.join(F.broadcast(large) if large.count() <= BROADCAST_ROWS else large, "pk"))
+    remove(docs.sparkSession, place)
+    met = several.where("_d <> rd").select("_d", "rd", "ab").union(chosen.where("n = 2").select(F.col("last").alias("_d"), "rd", "ab"))
+    pairs = cut(met.groupBy("_d", "rd").agg(F.min(a).alias("a"), F.max(b).alias("b")))
     wanted = pairs.select("_d").union(pairs.select("rd")).distinct()
     few = wanted.count() <= BROADCAST_ROWS
     texts = keyed.join(F.broadcast(wanted) if few else wanted, "_d", "left_semi").dropDuplicates(["_d"])
@@ -451,12 +456,13 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
 
     # what is left unconnected within a key
     comps = components(first.select(F.col("_d").alias("u"), F.col("rd").alias("v"))).withColumnRenamed("id", "_d")
-    placed = keys.join(comps, "_d", "left").select("pk", "_d", "ab", F.coalesce("component", "_d").alias("c"))
-    still = placed.groupBy("pk").agg(F.count("*").alias("n"), F.min("c").alias("least"), F.max("c").alias("most")).where("n > 2 AND least <> most").select("pk")
+    placed = several.join(comps, "_d", "left").select("pk", "_d", "ab", F.coalesce("component", "_d").alias("c"))
+    still = placed.groupBy("pk").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("pk")
     # what a document has in its keys' reach, by hash; equal ones are one region
     entries = cut(placed.join(still, "pk").groupBy("_d", "c").agg(F.collect_list(F.struct("pk", "ab")).alias("e")))
+    remove(docs.sparkSession, rest)
     some = entries.select("_d")
-    source = cut(keyed.join(F.broadcast(some) if some.count() <= BROADCAST_ROWS else some, "_d", "left_semi").dropDuplicates(["_d"]))
+    source = keyed.join(F.broadcast(some) if some.count() <= BROADCAST_ROWS else some, "_d", "left_semi").dropDuplicates(["_d"])
     hashed = cut(entries.join(source, "_d").select("_d", "doc_id", "text", "e", "c").mapInArrow(contents, "key long, _d long, doc_id long, c long, a long, b long, r long"))
     classes = cut(hashed.groupBy("key", "r").agg(F.min(F.struct("_d", "doc_id", "c", "a", "b")).alias("s"), F.min("c").alias("least"), F.max("c").alias("most")))
     # documents of several components with the same in reach
