@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -54,23 +55,38 @@ def line_hash(line: str) -> int:
 class Leaf:
     """Groups of a leaf's lines. A line joins the first group whose leader has at most `most` other tokens.
 
-    The tokens are split into most + 1 runs; a line with so few differences equals the leader in one of them.
+    The first `depth` tokens are the same in all lines. The rest is split into most + 2 runs; a line with so few differences
+    equals the leader in two of them, so groups are looked up by pairs of runs. Lines of over PAIRED tokens, whose runs have
+    three tokens, are split into most + 1 runs and looked up by single ones.
     """
 
-    def __init__(self, n: int, similarity: float):
+    PAIRED = 40
+
+    def __init__(self, n: int, similarity: float, depth: int = 0):
         self.n, self.most = n, int(n * (1 - similarity) + 1e-9)
-        self.runs = [(i * n // (self.most + 1), (i + 1) * n // (self.most + 1)) for i in range(self.most + 1)]
+        depth = min(depth, n)
+        rest = n - depth
+        if rest <= self.most:  # all of them may differ: every line joins the first group
+            self.runs, self.keys = [], [()]
+        else:
+            paired = n <= self.PAIRED and rest >= self.most + 2
+            k = self.most + 2 if paired else self.most + 1
+            self.runs = [(depth + i * rest // k, depth + (i + 1) * rest // k) for i in range(k)]
+            self.keys = list(combinations(range(k), 2 if paired else 1))
         self.leaders: list[list[str]] = []
         self.templates: list[list[str]] = []
         self.found: dict[tuple, list[int]] = {}
 
     def add(self, tokens: list[str]) -> int:
-        keys = [(a, *tokens[a:b]) for a, b in self.runs]
+        parts = [" ".join(tokens[a:b]) for a, b in self.runs]
+        keys = [(key, *(parts[i] for i in key)) for key in self.keys]
         seen: set[int] = set()
         best = None
         for k in keys:
             for g in self.found.get(k, ()):
-                if (best is None or g < best) and g not in seen:
+                if best is not None and g >= best:
+                    break  # groups stand in order
+                if g not in seen:
                     seen.add(g)
                     if sum(x != y for x, y in zip(tokens, self.leaders[g])) <= self.most:
                         best = g
@@ -125,7 +141,7 @@ def _templates(distinct: DataFrame, similarity: float, depth: int = DEPTH) -> Da
                 tokens = m.split(" ")
                 if (key, part) != at or leaf.n != len(tokens):
                     yield from done(at, leaf, held)
-                    at, leaf, held, first = (key, part), Leaf(len(tokens), similarity), [], []
+                    at, leaf, held, first = (key, part), Leaf(len(tokens), similarity, depth), [], []
                 g = leaf.add(tokens)
                 if g == len(first):
                     first.append(h)
@@ -234,9 +250,13 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, similarity: float = SIM
 
 def drop_lines(docs: DataFrame, added: tuple[str, str] = ("n_lines", "n_dropped"), **options) -> DataFrame:
     """The columns of docs (doc_id, text and more), text without the recurring lines, then their numbers of lines and of
-    lines dropped, named by added.
+    lines dropped, named by added. A name that docs has already gets underscores until it is new.
     """
-    names = docs.columns
+    names, new = docs.columns, []
+    for name in added:
+        while name.lower() in [n.lower() for n in (*names, *new)]:
+            name += "_"
+        new.append(name)
     inner = docs.toDF(*[f"_lt{i}" for i in range(len(names))])
     by = {n: f"_lt{i}" for i, n in enumerate(names)}
     k = F.xxhash64(F.col(by["text"]))
@@ -261,4 +281,4 @@ def drop_lines(docs: DataFrame, added: tuple[str, str] = ("n_lines", "n_dropped"
             yield pa.record_batch([*columns, pa.array(lines, pa.int32()), pa.array(dropped, pa.int32())], names=out_names)
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[:end]), "_ln int, _ld int"])
-    return joined.mapInArrow(run, schema).toDF(*names, *added)
+    return joined.mapInArrow(run, schema).toDF(*names, *new)

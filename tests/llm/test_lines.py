@@ -88,3 +88,83 @@ def test_hot_leaf_does_not_depend_on_partitions(spark, monkeypatch):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def slow_drop(rows, depth=3, similarity=0.7, min_docs=10, least_fixed=5):
+    """The docstring read line by line: doc_id -> lines dropped."""
+    places = defaultdict(list)
+    for doc_id, text in rows:
+        for i, line in enumerate((text or "").split("\n")):
+            if m := lt.masked(line):
+                t = m.split(" ")
+                places[len(t), *t[:depth]].append((m, doc_id, i))
+    docs, lines = defaultdict(set), defaultdict(list)
+    for leaf, held in places.items():
+        groups = []
+        for m in sorted({m for m, _, _ in held}, key=lambda m: m.encode()):
+            t = m.split(" ")
+            most = int(len(t) * (1 - similarity) + 1e-9)
+            g = next((g for g in groups if sum(x != y for x, y in zip(t, g[0])) <= most), None)
+            if g is None:
+                groups.append(g := (t, list(t), []))
+            g[1][:] = [x if x == y else lt.FIELD for x, y in zip(g[1], t)]
+            g[2].append(m)
+        named = {m: " ".join(g[1]) if sum(x != lt.FIELD for x in g[1]) >= least_fixed else m for g in groups for m in g[2]}
+        for m, doc_id, i in held:
+            docs[leaf, named[m]].add(doc_id)
+            lines[leaf, named[m]].append((doc_id, i))
+    gone = Counter()
+    for k, held in lines.items():
+        if len(docs[k]) >= min_docs:
+            gone.update(d for d, _ in sorted(held)[1:])
+    return gone
+
+
+def test_query_against_brute_force_at_its_own_parameters(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = slow_drop(docs.select("doc_id", "text").collect())
+    got = {r["doc_id"]: r["n_dropped"] for r in lt.drop_lines(docs).collect() if r["n_dropped"]}
+    assert got == dict(want) and sum(want.values()) > 20
+
+
+def test_many_lines_of_one_leaf_against_brute_force(spark):
+    """Words that change, in one leaf: the same at 1, 8 and 64 partitions without coalescing."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, f"alert from host {rng.choice('xyzuvw') * 3}{chr(97 + i % 26)} with state {rng.choice(['up', 'down', 'lost'])} in the north rack today") for i in range(100)]
+    want = slow_drop(rows)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for n in (1, 8, 64):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            got = {r["doc_id"]: r["n_dropped"] for r in lt.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["n_dropped"]}
+            assert got == dict(want) and sum(want.values()) == 99
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_a_leafs_time_grows_with_its_lines():
+    import random
+
+    rng = random.Random(5)
+    words = [f"v{i}" for i in range(300)]
+
+    def tried(n):
+        calls, leaf = 0, lt.Leaf(12, 0.7, 3)
+        for _ in range(n):
+            tokens = ["a", "b", "c", *rng.choices(words, k=9)]
+            parts = [" ".join(tokens[x:y]) for x, y in leaf.runs]
+            calls += sum(len(leaf.found.get((k, *(parts[i] for i in k)), ())) for k in leaf.keys)
+            leaf.add(tokens)
+        return calls
+
+    assert tried(4000) < 4000  # a group looked at for each line, at most
+
+
+def test_names_that_clash(spark):
+    df = spark.createDataFrame([(1, "a b", 5, 6, 7)], "doc_id long, text string, n_lines int, n_dropped int, n_lines_ int")
+    got = lt.drop_lines(df)
+    assert got.columns == ["doc_id", "text", "n_lines", "n_dropped", "n_lines_", "n_lines__", "n_dropped_"] and got.count() == 1
