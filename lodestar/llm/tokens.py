@@ -4,7 +4,7 @@ A byte-level BPE works on pieces (a word with the space before it, a run of digi
 across them, so the ids of a text are those of its pieces in turn. Each Python worker keeps the ids of pieces that it has
 met, up to `CACHE_PIECES`; further ones are encoded each time they come. New pieces are encoded as one string, in
 which line feeds stand before pieces without a space; the bytes of its tokens tell where each piece ends. Texts with
-characters that Python's own classes sort in another way, or with the string of a special token, are encoded whole.
+characters that Python's own classes sort in another way or don't know, or with the string of a special token, are encoded whole.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import re
 import sys
+import unicodedata
 import zlib
 
 import numpy as np
@@ -20,8 +21,16 @@ CACHE_PIECES = 500_000
 LONGEST_PIECE = 64  #: characters; longer ones are not kept
 # fixed: the pieces of this vocabulary's byte-level pre-tokenizer
 _PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-_ODD = frozenset("\x1c\x1d\x1e\x1f\x85") | {c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isdecimal() and not c.isalpha()}
-_ODD_LOW = re.compile("[" + "".join(sorted(c for c in _ODD if c < "\u0100")) + "]")
+_SEPARATORS = "\x1c\x1d\x1e\x1f\x85"
+
+
+def _is_odd_character(c: str) -> bool:
+    """Sorted by Python in another way than by the library, or unknown to Python, which may know fewer characters."""
+    return c in _SEPARATORS or c.isnumeric() and not c.isdecimal() and not c.isalpha() or unicodedata.category(c) == "Cn"
+
+
+_ODD = np.fromiter(map(_is_odd_character, map(chr, range(sys.maxunicode + 1))), bool, sys.maxunicode + 1)
+_ODD_LOW = re.compile("[" + "".join(map(chr, np.flatnonzero(_ODD[:256]))) + "]")
 _state: dict = {}
 
 
@@ -74,7 +83,7 @@ def _is_odd(text: str, special: list[str]) -> bool:
     try:
         text.encode("latin-1")
     except UnicodeEncodeError:
-        return not _ODD.isdisjoint(text)
+        return bool(_ODD[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].any())
     return False
 
 

@@ -109,3 +109,15 @@ def test_encoding_by_pieces_is_encoding():
     tok = Tokenizer.from_file(path)
     want = [np.array(tok.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     assert tokens.encode(texts, path) == want and tokens.encode(texts[::-1], path) == want[::-1]
+
+
+def test_ids_are_the_librarys_for_every_character():
+    """All assigned planes and the tags, also characters that Python's tables don't have."""
+    from tokenizers import Tokenizer
+
+    path = tokens.default_vocabulary()
+    whole = Tokenizer.from_file(path)
+    for lo in [*range(0, 0x33000, 4096), 0xE0000]:
+        texts = [f"a{c}b {c}1 {c}{c} x\n{c}" for c in (chr(x) for x in range(lo, lo + 4096) if not 0xD800 <= x < 0xE000)]
+        want = [np.asarray(e.ids, "<u4").tobytes() for e in whole.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+        assert tokens.encode(texts, path) == want
