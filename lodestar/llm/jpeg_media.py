@@ -7,14 +7,17 @@ lanes take a symbol per step, so a step is a few numpy calls for thousands of bl
 `carrier` stores bytes without loss: 64 bytes are the quantised coefficients of a block, in zigzag order, each byte
 less 128. Quantisers are 1. Blocks fill an image about as wide as high; a comment gives the number of payload bytes.
 
-Defined results: what is no baseline JPEG of 8 bits (progressive, arithmetic, 12 bits, several scans) has status
-"unsupported", damaged data "corrupt", null or empty media "empty"; dimensions, thumbnail and hash are then null as far as
+Components may stand in one scan or in several; the thumbnail comes from the scan that has the first one.
+
+Defined results: what is no baseline JPEG of 8 bits (progressive, arithmetic, 12 bits) has status "unsupported", damaged data or
+a first component without a scan "corrupt", null or empty media "empty"; dimensions, thumbnail and hash are then null as far as
 unknown. Null text is empty; its payload is one block of zero bytes. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -25,6 +28,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lodestar.llm.common import cut, remove, stored
+
 RESTART = 8  #: blocks between restart markers in images written here
 CHUNK_BYTES = 2_000_000  #: compressed bytes decoded side by side
 
@@ -53,13 +58,12 @@ def lookup(table: bytes) -> np.ndarray:
 
 
 def _own_tables() -> tuple[bytes, bytes]:
-    """Static tables: DC sizes have 4 bits; AC symbols 4 bits without a run of zeros, 9 bits with one."""
+    """Static tables. DC sizes have 4 bits. Of AC symbols without a run of zeros, the sizes of letters and of the space
+    (less 128: 5, 4, 7) have 2 bits, other frequent ones 4 to 7, the rest 11.
+    """
     dc = bytes([0, 0, 0, 12] + [0] * 12) + bytes(range(12))
-    short = [s for s in range(1, 11)]
-    long = [0x00, 0xF0] + [r << 4 | s for r in range(1, 16) for s in range(1, 11)]
-    counts = [0] * 16
-    counts[3], counts[8] = len(short), len(long)
-    return dc, bytes(counts) + bytes(short + long)
+    by_length = {2: [5, 4, 7], 4: [6], 5: [3, 8], 7: [1, 2], 11: [9, 10, 0x00, 0xF0] + [r << 4 | s for r in range(1, 16) for s in range(1, 11)]}
+    return dc, bytes(len(by_length.get(n, ())) for n in range(1, 17)) + bytes(x for n in sorted(by_length) for x in by_length[n])
 
 
 DC_TABLE, AC_TABLE = _own_tables()
@@ -172,6 +176,17 @@ def carrier(payload: bytes) -> bytes:
 # --- reading
 
 
+@dataclass
+class Scan:
+    start: int
+    stop: int
+    every: int  #: MCUs between restart markers, 0 without
+    parts: list[int]  #: which components
+    pattern: tuple  #: blocks of an MCU: (component, DC table, AC table)
+    steps: list[int]  #: each component's quantiser of the DC coefficient
+    blocks: np.ndarray | None = None
+
+
 @dataclass
 class Image:
     status: str = "ok"
@@ -179,22 +194,23 @@ class Image:
     height: int | None = None
     comment: bytes = b""
     thumbnail: np.ndarray | None = None  #: uint8, a pixel for each block of the luminance component
-    coefficients: np.ndarray | None = None  #: int16 (blocks in scan order, 64), quantised, zigzag
+    coefficients: np.ndarray | None = None  #: int16 (blocks in the order of scans, 64), quantised, zigzag
     _parts: list = field(default_factory=list)  # components: (id, h, v, quantiser table)
     _quant: dict = field(default_factory=dict)
     _huff: dict = field(default_factory=dict)
-    _every: int = 0
-    _scan: tuple = ()
-    _pattern: list = field(default_factory=list)  # blocks of an MCU: (component, DC table, AC table)
+    _scans: list = field(default_factory=list)
 
 
 class _Unsupported(Exception):
     pass
 
 
+_SCAN_END = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]")
+
+
 def _parse(data: bytes) -> Image:
     """Header and scan boundaries."""
-    im, at = Image(), 2
+    im, at, every = Image(), 2, 0
     if data[:2] != b"\xff\xd8":
         raise _Unsupported
     while True:
@@ -203,6 +219,8 @@ def _parse(data: bytes) -> Image:
         if data[at] != 0xFF:
             raise ValueError("no marker")
         kind = data[at + 1]
+        if kind == 0xD9:
+            break
         size = struct.unpack_from(">H", data, at + 2)[0]
         body = data[at + 4 : at + 2 + size]
         if len(body) != size - 2:
@@ -221,7 +239,7 @@ def _parse(data: bytes) -> Image:
                 im._huff[body[0]] = body[1:k]
                 body = body[k:]
         elif kind == 0xDD:
-            im._every = struct.unpack(">H", body)[0]
+            every = struct.unpack(">H", body)[0]
         elif kind in (0xC0, 0xC1):
             bits, im.height, im.width, n = struct.unpack_from(">BHHB", body)
             if bits != 8 or not im.height or not im.width:
@@ -230,25 +248,39 @@ def _parse(data: bytes) -> Image:
         elif 0xC2 <= kind <= 0xCF and kind != 0xC8 and kind != 0xCC:
             raise _Unsupported
         elif kind == 0xDA:
-            if not im._parts or body[0] != len(im._parts):
+            if not im._parts:
                 raise _Unsupported
+            found = _SCAN_END.search(data, at)
             tables = {body[1 + 2 * i]: body[2 + 2 * i] for i in range(body[0])}
-            alone = len(im._parts) == 1
-            for i, (ident, h, v, _) in enumerate(im._parts):
-                t = tables[ident]
-                im._pattern += [(i, im._huff[t >> 4], im._huff[0x10 | t & 15])] * (1 if alone else h * v)
-            break
-    stop = data.rfind(b"\xff\xd9", at)
-    im._scan = (at, stop if stop >= 0 else len(data))
+            parts = [i for i, p in enumerate(im._parts) if p[0] in tables]
+            pattern = []
+            for i in parts:
+                ident, h, v, _ = im._parts[i]
+                pattern += [(i, im._huff[tables[ident] >> 4], im._huff[0x10 | tables[ident] & 15])] * (1 if len(parts) == 1 else h * v)
+            if not parts or any(i in s.parts for s in im._scans for i in parts):
+                raise ValueError("a scan of no component or of one that has been read")
+            steps = [int(im._quant[im._parts[i][3]][0]) for i in parts]
+            im._scans.append(Scan(at, found.start() if found else len(data), every, parts, tuple(pattern), steps))
+            if not found:
+                break
+            at = found.start()
+    if not any(0 in s.parts for s in im._scans):
+        raise ValueError("no scan of the first component")
     return im
 
 
-def _grid(im: Image) -> tuple[int, int, int, int]:
-    """MCUs across and down, blocks of the first component across and down an MCU."""
-    _, h, v, _ = im._parts[0]
-    if len(im._parts) == 1:
-        return -(-im.width // 8), -(-im.height // 8), 1, 1
+def _sides(im: Image, i: int) -> tuple[int, int]:
+    """Blocks of component i across and down, without what fills up MCUs."""
+    big_h, big_v = max(p[1] for p in im._parts), max(p[2] for p in im._parts)
+    return -(-(-(-im.width * im._parts[i][1] // big_h)) // 8), -(-(-(-im.height * im._parts[i][2] // big_v)) // 8)
+
+
+def _grid(im: Image, scan: Scan) -> tuple[int, int, int, int]:
+    """MCUs across and down, blocks of the scan's first component across and down an MCU."""
+    if len(scan.parts) == 1:
+        return (*_sides(im, scan.parts[0]), 1, 1)
     big_h, big_v = max(p[1] for p in im._parts), max(p[2] for p in im._parts)
+    _, h, v, _ = im._parts[scan.parts[0]]
     return -(-im.width // (8 * big_h)), -(-im.height // (8 * big_v)), h, v
 
 
@@ -260,7 +292,8 @@ def decode_images(media: list[bytes | None], thumbnails: bool = True) -> list[Im
             continue
         try:
             im = _parse(data)
-            groups.setdefault(tuple(im._pattern), []).append((im, data))
+            for scan in im._scans:
+                groups.setdefault(scan.pattern, []).append((im, scan, data))
         except _Unsupported:
             im = Image(status="unsupported")
         except (IndexError, KeyError, ValueError, struct.error):
@@ -271,9 +304,12 @@ def decode_images(media: list[bytes | None], thumbnails: bool = True) -> list[Im
         while at < len(members):
             end, size = at, 0
             while end < len(members) and (end == at or size < CHUNK_BYTES):
-                size, end = size + len(members[end][1]), end + 1
+                size, end = size + members[end][1].stop - members[end][1].start, end + 1
             _decode(members[at:end], pattern)
             at = end
+    for im in images:
+        if im.status == "ok":
+            im.coefficients = im._scans[0].blocks if len(im._scans) == 1 else np.concatenate([s.blocks for s in im._scans])
     if thumbnails:
         for im in images:
             if im.status == "ok":
@@ -281,14 +317,15 @@ def decode_images(media: list[bytes | None], thumbnails: bool = True) -> list[Im
     return images
 
 
-def _decode(members: list[tuple[Image, bytes]], pattern: tuple) -> None:
-    """Coefficients of images with the same tables and block order."""
+def _decode(members: list[tuple[Image, Scan, bytes]], pattern: tuple) -> None:
+    """Coefficients of scans with the same tables and block order."""
     per_mcu = len(pattern)
     stream, begin, count, first, owner, total, offset = [], [], [], [], [], 0, 0
-    for i, (im, data) in enumerate(members):
-        across, down, _, _ = _grid(im)
+    places = {}
+    for i, (im, scan, data) in enumerate(members):
+        across, down, _, _ = _grid(im, scan)
         n = across * down
-        raw = np.frombuffer(data, np.uint8)[im._scan[0] : im._scan[1]]
+        raw = np.frombuffer(data, np.uint8)[scan.start : scan.stop]
         ff = np.flatnonzero(raw[:-1] == 0xFF)
         follow = raw[ff + 1]
         marks = ff[(follow >= 0xD0) & (follow <= 0xD7)]
@@ -296,7 +333,7 @@ def _decode(members: list[tuple[Image, bytes]], pattern: tuple) -> None:
         keep = np.ones(len(raw), bool)
         keep[gone] = False
         plain = raw[keep]
-        every = im._every or n
+        every = scan.every or n
         lanes = -(-n // every)
         if len(marks) != lanes - 1:
             im.status = "corrupt"
@@ -309,7 +346,7 @@ def _decode(members: list[tuple[Image, bytes]], pattern: tuple) -> None:
         first.append((total + np.arange(lanes) * every) * per_mcu)
         owner.append(np.full(lanes, i))
         stream.append(plain)
-        im._place = (total * per_mcu, n * per_mcu, every * per_mcu)
+        places[i] = (total * per_mcu, n * per_mcu, every * per_mcu)
         total, offset = total + n, offset + len(plain)
     if not stream:
         return
@@ -361,31 +398,30 @@ def _decode(members: list[tuple[Image, bytes]], pattern: tuple) -> None:
                 pos, k, base, left, turn, lane_owner = pos[more], k[more], base[more], left[more], turn[more], lane_owner[more]
     blocks = out.reshape(-1, 64)
     part = np.array([c for c, _, _ in pattern])
-    for i, (im, _) in enumerate(members):
+    for i, (im, scan, _) in enumerate(members):
         if im.status != "ok":
             continue
         if i in bad:
             im.status = "corrupt"
             continue
-        at, n, every = im._place
+        at, n, every = places[i]
         own = blocks[at : at + n].copy()
-        for c in range(part.max() + 1):
+        for c in scan.parts:
             mine = np.flatnonzero(np.tile(part == c, n // per_mcu))
             sums = np.cumsum(own[mine, 0].astype(np.int64))
             group = mine // every
             heads = np.flatnonzero(np.diff(group, prepend=-1))
             own[mine, 0] = sums - (sums[heads] - own[mine[heads], 0])[group]
-        im.coefficients = own
+        scan.blocks = own
 
 
 def _thumbnail(im: Image) -> np.ndarray:
-    across, down, h, v = _grid(im)
-    mine = [i for i, (c, _, _) in enumerate(im._pattern) if c == 0]
-    dc = im.coefficients[:, 0].reshape(-1, len(im._pattern))[:, mine].astype(np.int64) * im._quant[im._parts[0][3]][0]
+    scan = next(s for s in im._scans if 0 in s.parts)
+    across, down, h, v = _grid(im, scan)
+    mine = [i for i, (c, _, _) in enumerate(scan.pattern) if c == 0]
+    dc = scan.blocks[:, 0].reshape(-1, len(scan.pattern))[:, mine].astype(np.int64) * scan.steps[scan.parts.index(0)]
     grid = dc.reshape(down, across, v, h).transpose(0, 2, 1, 3).reshape(down * v, across * h)
-    big_h, big_v = max(p[1] for p in im._parts), max(p[2] for p in im._parts)
-    high = -(-(-(-im.height * im._parts[0][2] // big_v)) // 8)
-    wide = -(-(-(-im.width * im._parts[0][1] // big_h)) // 8)
+    wide, high = _sides(im, 0)
     return np.clip((grid[:high, :wide] + 4) // 8 + 128, 0, 255).astype(np.uint8)
 
 
@@ -458,3 +494,11 @@ def digest(rows: DataFrame) -> DataFrame:
                 yield pa.record_batch([part.column(0), part.column(1), *map(pa.array, zip(*out), kinds)], names=names)
 
     return rows.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+
+
+def stored_digest(docs: DataFrame) -> DataFrame:
+    """digest of the carriers of docs (doc_id, text): the media column is written to the shared folder, read back and removed."""
+    rows, place = stored(encode_texts(docs))
+    found = cut(digest(rows))
+    remove(docs.sparkSession, place)
+    return found

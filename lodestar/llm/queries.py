@@ -43,7 +43,7 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jpeg_media.digest(jpeg_media.encode_texts(table(spark, sf_dir, "documents")))
+    return jpeg_media.stored_digest(table(spark, sf_dir, "documents"))
 
 
 def op9_arrow_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
