@@ -4,8 +4,8 @@
 thumbnails of one pixel per 8x8 block from the DC coefficients. A lane is the data between two restart markers; all
 lanes take a symbol per step, so a step is a few numpy calls for thousands of blocks.
 
-`carrier` stores bytes without loss: 64 bytes are the quantised coefficients of a block, in zigzag order, each byte
-less 128. Quantisers are 1. Blocks fill an image about as wide as high; a comment gives the number of payload bytes.
+`carrier` stores bytes without loss: 64 bytes are the quantised coefficients of a block, in zigzag order. A table gives
+each byte its coefficient, near zero for frequent ones, zero for zero. Quantisers are 1. Blocks fill an image about as wide as high; a comment gives the number of payload bytes.
 
 Components may stand in one scan or in several; the thumbnail comes from the scan that has the first one.
 
@@ -57,21 +57,39 @@ def lookup(table: bytes) -> np.ndarray:
     return out
 
 
-def _own_tables() -> tuple[bytes, bytes]:
-    """Static tables. DC sizes have 4 bits. Of AC symbols without a run of zeros, the sizes of letters and of the space
-    (less 128: 5, 4, 7) have 2 bits, other frequent ones 4 to 7, the rest 11.
-    """
-    dc = bytes([0, 0, 0, 12] + [0] * 12) + bytes(range(12))
-    by_length = {2: [5, 4, 7], 4: [6], 5: [3, 8], 7: [1, 2], 11: [9, 10, 0x00, 0xF0] + [r << 4 | s for r in range(1, 16) for s in range(1, 11)]}
-    return dc, bytes(len(by_length.get(n, ())) for n in range(1, 17)) + bytes(x for n in sorted(by_length) for x in by_length[n])
+def _table(by_length: dict[int, list[int]]) -> bytes:
+    return bytes(len(by_length.get(n, ())) for n in range(1, 17)) + bytes(x for n in sorted(by_length) for x in by_length[n])
 
 
-DC_TABLE, AC_TABLE = _own_tables()
+# Static tables for coefficients of -127 to 128. Frequent bytes have small coefficients, so sizes 1 to 3 have two bits. Zeros only
+# fill up blocks, unless a text has zero bytes; then all runs have codes, too.
+DC_TABLE = _table({4: list(range(9))})
+AC_TABLE = _table({2: [1, 2, 3], 3: [4], 5: [0x00, 5, 6], 6: [7], 7: [8]})
+AC_RUNS = _table({2: [1, 2, 3], 3: [4], 5: [0x00], 6: [5, 6], 7: [7], 8: [8, 0xF0], 12: [r << 4 | s for r in range(1, 16) for s in range(1, 9)]})
+
+
+# --- bytes as coefficients
+
+_FREQUENT = b" etaoinsrhldcumfpgwybvk,.-\nETAOINSRHLDCUM'jxqz\xc3"
+
+
+def _coefficients() -> np.ndarray:
+    """The coefficient of each byte: 0 for zero, then 1, -1, 2, -2 and so on, for frequent bytes of texts first."""
+    order = [0, *_FREQUENT, *(b for b in range(1, 256) if b not in _FREQUENT)]
+    out = np.zeros(256, np.int16)
+    out[order] = [(r + 1) // 2 if r % 2 else -(r // 2) for r in range(256)]
+    return out
+
+
+COEFFICIENT = _coefficients()
+BYTE = np.zeros(256, np.uint8)
+BYTE[COEFFICIENT + 127] = np.arange(256)
 
 
 # --- writing
 
 
+@lru_cache(maxsize=8)
 def _arrays(table: bytes) -> tuple[np.ndarray, np.ndarray]:
     code, length = np.zeros(256, np.uint64), np.zeros(256, np.int64)
     for s, (c, n) in canonical(list(table[:16]), table[16:]).items():
@@ -79,13 +97,13 @@ def _arrays(table: bytes) -> tuple[np.ndarray, np.ndarray]:
     return code, length
 
 
-_DC, _AC = _arrays(DC_TABLE), _arrays(AC_TABLE)
+_DC = _arrays(DC_TABLE)
 _SIZE = np.array([abs(v).bit_length() for v in range(-2048, 2048)], dtype=np.int64)
 
 
-def _scan(blocks: np.ndarray) -> bytes:
+def _scan(blocks: np.ndarray, ac_table: bytes) -> bytes:
     """Entropy-coded data of blocks (n, 64) in zigzag order, with restart markers."""
-    n = len(blocks)
+    n, codes = len(blocks), _arrays(ac_table)
     dc = blocks[:, 0].astype(np.int64)
     diff = np.diff(dc, prepend=0)
     diff[::RESTART] = dc[::RESTART]
@@ -103,15 +121,15 @@ def _scan(blocks: np.ndarray) -> bytes:
 
     size_dc, size_ac = _SIZE[diff + 2048], _SIZE[ac + 2048]
     d_bits, d_len = item(size_dc, diff, size_dc, _DC)
-    a_bits, a_len = item((run & 15) << 4 | size_ac, ac, size_ac, _AC, there)
+    a_bits, a_len = item((run & 15) << 4 | size_ac, ac, size_ac, codes, there)
     end = ~there[:, 62]
-    e_bits, e_len = np.where(end, _AC[0][0], 0).astype(np.uint64), np.where(end, _AC[1][0], 0)
+    e_bits, e_len = np.where(end, codes[0][0], 0).astype(np.uint64), np.where(end, codes[1][0], 0)
     if (run > 15).any():  # up to three symbols for 16 zeros stand before the item
         z_bits, z_len = np.zeros_like(a_bits), np.zeros_like(a_len)
         for _ in range(3):
             more = run > 15
-            z_bits = np.where(more, z_bits << np.uint64(_AC[1][0xF0]) | _AC[0][0xF0], z_bits)
-            z_len, run = z_len + more * _AC[1][0xF0], run - 16 * more
+            z_bits = np.where(more, z_bits << np.uint64(codes[1][0xF0]) | codes[0][0xF0], z_bits)
+            z_len, run = z_len + more * codes[1][0xF0], run - 16 * more
         a_bits, a_len = np.stack([z_bits, a_bits], 2).reshape(n, -1), np.stack([z_len, a_len], 2).reshape(n, -1)
     bits = np.concatenate([d_bits[:, None], a_bits, e_bits[:, None]], axis=1)
     length = np.concatenate([d_len[:, None], a_len, e_len[:, None]], axis=1)
@@ -160,17 +178,19 @@ def carrier(payload: bytes) -> bytes:
     if not n or len(payload) % 64 or wide > 8191:
         raise ValueError("the payload must be 64 bytes or a multiple, up to what 65,535 pixels a side hold")
     blocks = np.zeros((wide * high, 64), np.int16)
-    blocks[:n] = np.frombuffer(payload, np.uint8).reshape(n, 64).astype(np.int16) - 128
+    blocks[:n] = COEFFICIENT[np.frombuffer(payload, np.uint8)].reshape(n, 64)
+    some = blocks[:, 1:] != 0
+    ac_table = AC_RUNS if (some[:, 1:] & ~some[:, :-1]).any() else AC_TABLE  # a zero before another coefficient
     head = [
         b"\xff\xd8",
         _segment(0xFE, b"payload %d" % len(payload)),
         _segment(0xDB, b"\0" + b"\1" * 64),
         _segment(0xC0, struct.pack(">BHHBBBB", 8, high * 8, wide * 8, 1, 1, 0x11, 0)),
-        _segment(0xC4, b"\x00" + DC_TABLE + b"\x10" + AC_TABLE),
+        _segment(0xC4, b"\x00" + DC_TABLE + b"\x10" + ac_table),
         _segment(0xDD, struct.pack(">H", RESTART)),
         _segment(0xDA, b"\1\1\0\0\x3f\0"),
     ]
-    return b"".join([*head, _scan(blocks), b"\xff\xd9"])
+    return b"".join([*head, _scan(blocks, ac_table), b"\xff\xd9"])
 
 
 # --- reading
@@ -459,7 +479,7 @@ def encode_texts(docs: DataFrame) -> DataFrame:
 
 def payload_of(im: Image) -> bytes:
     size = int(im.comment.removeprefix(b"payload "))
-    return (im.coefficients[: size // 64].astype(np.int16) + 128).astype(np.uint8).tobytes()
+    return BYTE[im.coefficients[: size // 64] + 127].tobytes()
 
 
 def describe_media(rows: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ STANDARD_AC = bytes([0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125]) + bytes.
 )
 
 
-def encode(width, height, parts, blocks, every=0, tables=(jm.DC_TABLE, jm.AC_TABLE), apart=False):
+def encode(width, height, parts, blocks, every=0, tables=(STANDARD_DC, jm.AC_RUNS), apart=False):
     """parts: (h, v) of each component; blocks: {component: (down, across, 64) quantised coefficients}; apart: a scan for each component."""
     seg = jm._segment
     big_h, big_v = max(h for h, _ in parts), max(v for _, v in parts)
@@ -125,7 +125,7 @@ def test_flat_grey():
     assert im.thumbnail.tolist() == [[128, 128]] and jm.average_hash(im.thumbnail) == "0" * 16
 
 
-@pytest.mark.parametrize("payload", [bytes(64), bytes([128]) * 64, bytes(range(256)) * 3, bytes([255] * 640), bytes([128] * 63 + [1]) * 20, bytes([128] * 6400)])
+@pytest.mark.parametrize("payload", [bytes(64), bytes([128]) * 64, bytes(range(256)) * 3, bytes([255] * 640), bytes([128] * 63 + [1]) * 20, bytes([128] * 6400), bytes(63) + b"a" + bytes(10) + b"b" * 54, (bytes(40) + b"a" * 24) * 9])
 def test_payload_round_trip(payload):
     data = jm.carrier(payload)
     (im,) = jm.decode_images([data])
