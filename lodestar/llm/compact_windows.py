@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import components, cut, remove, stored
-from lodestar.llm.golay_simhash import shingle_hashes, words
+from lodestar.llm.golay_simhash import sequence_hashes, words
 
 SHINGLE, MIN_WORDS, SIMILARITY, FUNCTIONS = 5, 50, 0.8, 4
 LEVELS = 7
@@ -42,6 +42,10 @@ CELLS = 1_000_000  #: places of regions looked up at once
 BROADCAST_ROWS = 4_000_000  #: keys (a long each) up to which they are broadcast; beyond, the join shuffles
 
 
+def shingle_hashes(text: str | None, size: int) -> np.ndarray:
+    return sequence_hashes(words(text), size)
+
+
 def mixed(h: np.ndarray, function: int) -> np.ndarray:
     """The function's hash of shingle hashes; never zero."""
     x = h ^ np.uint64(0x9E3779B97F4A7C15 * (function + 1) & (1 << 64) - 1)
