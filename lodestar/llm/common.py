@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: rows and bytes of an Arrow batch between Spark and Python; texts are long, and a worker holds a batch whole
 BATCH_ROWS, BATCH_BYTES = 1000, 16_000_000
+BROADCAST_EDGES = 500_000  #: edges of a graph up to which its nodes' minima (two longs each, at most 32 MB) are broadcast
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -57,20 +58,23 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of edges (u long, v long): a row (id, component) for each id with an edge, component the smallest id.
 
     Alternates two contractions (each node's larger neighbours, then its smaller ones, move to the smallest it
-    knows) until the edges are stars. Only minima are grouped, so a hub is pre-aggregated before each shuffle, and
-    the joins that follow have one row for each key on one side, which adaptive execution may split.
+    knows) until the edges are stars. Only minima are grouped, so a hub is pre-aggregated before each shuffle; the
+    minima are broadcast for up to BROADCAST_EDGES edges, so that a hub's edges stay where they are. Beyond, the joins
+    have one row for each key on one side, and adaptive execution may split the other.
     Null ids and loops are left out; no edges give no rows.
     """
     pairs = edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v")
     now = cut(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    few = now.count() <= BROADCAST_EDGES  # a node has a row of minima; rounds add no nodes
+    side = F.broadcast if few else lambda df: df
     seen = None
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(side(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = cut(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(least, "u")
+        moved = large.join(side(least), "u")
         small = moved.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         now = cut(small)
