@@ -8,9 +8,12 @@ candidates if they share one. Keys that long hardly ever meet by chance, so cand
 texts. By simulation, a pair shares a key with probability 0.998 at a similarity of 0.8. Candidates pass
 on 64 bits of the fingerprint, then on their shingles themselves.
 
-Texts with the same words are one candidate. In a block of a key each text is first a candidate with the one before it that
-is nearest by fingerprint, so a key gives fewer candidates than it has texts. What these pairs leave in different components is then
-compared exactly: all texts that share a key, pass on 64 bits and are not connected yet.
+Texts with the same words are one candidate. Shingles that only one of the texts with shared keys has are counted; two texts with so
+many of them that they can't reach the similarity are no candidates. Verification goes in three rounds. First, the text with the most
+shared keys stands for each of its keys, and each text is verified against the one of these that it shares most keys with. Where
+this leaves texts of a key in different components, each is verified against the one before it, of another component, that is nearest
+by fingerprint. What is still in different components is then compared exactly: all texts that share a key, pass on 64 bits and are not
+connected yet.
 
 Defined results: null, empty and blank texts are copies of each other; a text with fewer words than a shingle is one shingle; of a
 group, the document with the smallest doc_id stays (null last; of equal ones one); an empty table gives no rows.
@@ -27,8 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import components, cut
-from lodestar.llm.golay_simhash import _remainder, blocked_rows, shingle_hashes, words
+from lodestar.llm.common import components, cut, remove, stored
+from lodestar.llm.golay_simhash import _remainder, blocked_rows, sequence_hashes, words
 
 SEGMENTS, NEAREST, RANKS, SIZE, SIMILARITY, BLOCK = 15, 4, 3, 5, 0.8, 2048
 #: threes of segments: no two share a pair, and a segment is in five on average
@@ -82,11 +85,11 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _shingle_set(text: str | None, size: int) -> np.ndarray:
-    return np.unique(shingle_hashes(text, size))
+    return np.unique(sequence_hashes(words(text), size))
 
 
 def _sketches(docs: DataFrame, size: int) -> DataFrame:
-    """docs (doc_id, _d, text): doc_id, _d, k (hash of the words), fp (64 bits), near (codewords)."""
+    """docs (doc_id, _d, text): doc_id, _d, k (hash of the words), fp (64 bits), near (codewords), n (distinct shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -94,12 +97,13 @@ def _sketches(docs: DataFrame, size: int) -> DataFrame:
                 part = b.slice(at, 32)
                 texts = part.column(2).to_pylist()
                 k = np.array([xxhash.xxh64_intdigest(b" ".join(words(t)), 3) for t in texts], np.uint64).view(np.int64)
-                v = np.stack([votes(_shingle_set(t, size)) for t in texts])
+                sets = [_shingle_set(t, size) for t in texts]
+                v, n = np.stack(list(map(votes, sets))), np.array([len(x) for x in sets], np.int64)
                 fp = np.packbits(v[:, :64] > 0, axis=1, bitorder="little").view(np.int64).ravel()
                 near = pa.array([x.tobytes() for x in nearest_codewords(v).astype(np.int16)], pa.binary())
-                yield pa.record_batch([part.column(0), part.column(1), pa.array(k), pa.array(fp), near], names=["doc_id", "_d", "k", "fp", "near"])
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(k), pa.array(fp), near, pa.array(n)], names=["doc_id", "_d", "k", "fp", "near", "n"])
 
-    return docs.select("doc_id", "_d", "text").mapInArrow(run, "doc_id long, _d long, k long, fp long, near binary")
+    return docs.select("doc_id", "_d", "text").mapInArrow(run, "doc_id long, _d long, k long, fp long, near binary, n long")
 
 
 def bit_limit(similarity: float) -> int:
@@ -129,27 +133,67 @@ def key_rows(classes: DataFrame) -> DataFrame:
     return keyed(["k", "_d", "fp"]).join(known, "k")
 
 
-def candidates(rows: DataFrame, similarity: float, block: int) -> DataFrame:
-    """rows of key_rows: distinct (u, v) of texts, each with the nearest before it in a block of a key, if its 64 bits allow for the similarity."""
+def hopeful(rows: DataFrame, similarity: float) -> DataFrame:
+    """rows of key_rows with nu, but those whose text can't have the similarity even with the shortest one of the key."""
+    n, u = F.shiftright("nu", 32), F.col("nu").bitwiseAND(F.lit(0xFFFFFFFF))
+    shortest = rows.groupBy("k").agg(F.min(n).alias("least"))
+    able = n - u >= similarity * (F.col("least") + u) - 1e-9
+    return rows.join(shortest, "k").where(able).drop("least")
+
+
+def representatives(rows: DataFrame, similarity: float) -> DataFrame:
+    """rows of key_rows with nu: (u, v), for each text the one it shares most keys with, of those that stand for a key: these have the
+    most shared keys of its texts. Their 64 bits and nu allow for the similarity.
+    """
+    degrees = cut(rows.groupBy("_d").agg(F.count("*").alias("n")))
+    ranked = rows.join(F.broadcast(degrees) if degrees.count() <= BROADCAST_ROWS else degrees, "_d")
+    most = F.max(F.struct("n", "_d", "fp", "nu"))
+    least = cut(ranked.groupBy("k").agg(most.alias("m")).select("k", F.col("m._d").alias("v"), F.col("m.fp").alias("vf"), F.col("m.nu").alias("vnu")))
+    own, other = (tuple(f(x) for f in (lambda c: F.shiftright(c, 32), lambda c: c.bitwiseAND(F.lit(0xFFFFFFFF)))) for x in (F.col("nu"), F.col("vnu")))
+    both = F.least(own[0] - own[1], other[0] - other[1])
+    able = (both >= similarity * (own[0] + other[0] - both) - 1e-9) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("vf"))) <= bit_limit(similarity))
+    met = rows.join(least, "k").where((F.col("_d") != F.col("v")) & able).groupBy("_d", "v").agg(F.count("*").alias("n"))
+    best = met.groupBy("_d").agg(F.max(F.struct("n", "v"))["v"].alias("v"))
+    return best.select(F.least("v", "_d").alias("u"), F.greatest("v", "_d").alias("v")).distinct()
+
+
+def reachable(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether texts can have the similarity, by n << 32 | u of each: n shingles, of which u are in no other text."""
+    na, nb = a >> 32, b >> 32
+    both = np.minimum(na - (a & 0xFFFFFFFF), nb - (b & 0xFFFFFFFF))
+    return both >= similarity * (na + nb - both) - 1e-9
+
+
+def nearest_of_others(rows: DataFrame, comps: DataFrame, similarity: float, block: int) -> DataFrame:
+    """rows of key_rows, comps (id, component): distinct (u, v) of texts, each with the nearest before it of another component in a
+    block of a key, if its 64 bits allow for the similarity.
+    """
     limit = bit_limit(similarity)
 
     def nearest(group: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        fp, n = x[1].view(np.uint64), x.shape[1]
+        fp, c, nu, n = x[1].view(np.uint64), x[2], x[3], x.shape[1]
         best, who, at, step = np.full(n, 65), np.arange(n), np.arange(n - 1), 1
         while True:
             at = at[at + step < n]
             at = at[group[at] == group[at + step]]
             if not len(at):
                 break
-            d = np.bitwise_count(fp[at] ^ fp[at + step])
+            able = (c[at] != c[at + step]) & reachable(nu[at], nu[at + step], similarity)
+            d = np.where(able, np.bitwise_count(fp[at] ^ fp[at + step]), 65)
             closer = d < best[at + step]
             best[at[closer] + step], who[at[closer] + step] = d[closer], at[closer]
             step += 1
         some = np.flatnonzero(best <= limit)
-        return x[0][some], x[0][who[some]]
+        return np.minimum(x[0][some], x[0][who[some]]), np.maximum(x[0][some], x[0][who[some]])
 
-    pairs = blocked_rows(rows, ["_d", "fp"], nearest, block).where("u <> v")
-    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    return blocked_rows(_mixed(rows, comps), ["_d", "fp", "c", "nu"], nearest, block).where("u <> v").distinct()
+
+
+def _mixed(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """rows of keys whose texts are in several components, with their component c."""
+    placed = rows.join(comps.withColumnRenamed("id", "_d"), "_d", "left").select(*rows.columns, F.coalesce("component", "_d").alias("c"))
+    mixed = placed.groupBy("k").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("k")
+    return placed.join(mixed, "k")
 
 
 def unconnected(rows: DataFrame, comps: DataFrame, similarity: float, block: int) -> DataFrame:
@@ -157,32 +201,29 @@ def unconnected(rows: DataFrame, comps: DataFrame, similarity: float, block: int
     allow for the similarity.
     """
     limit = bit_limit(similarity)
-    placed = rows.join(comps.withColumnRenamed("id", "_d"), "_d", "left").select("k", "_d", "fp", F.coalesce("component", "_d").alias("c"))
-    mixed = placed.groupBy("k").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("k")
-
     def pairs(group: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        fp, c, at, step = x[1].view(np.uint64), x[2], np.arange(x.shape[1] - 1), 1
+        fp, c, nu, at, step = x[1].view(np.uint64), x[2], x[3], np.arange(x.shape[1] - 1), 1
         a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         while True:
             at = at[at + step < len(fp)]
             at = at[group[at] == group[at + step]]
             if not len(at):
                 break
-            hit = at[(c[at] != c[at + step]) & (np.bitwise_count(fp[at] ^ fp[at + step]) <= limit)]
+            hit = at[(c[at] != c[at + step]) & (np.bitwise_count(fp[at] ^ fp[at + step]) <= limit) & reachable(nu[at], nu[at + step], similarity)]
             a.append(x[0][hit])
             b.append(x[0][hit + step])
             step += 1
         u, v = np.concatenate(a), np.concatenate(b)
         return np.minimum(u, v), np.maximum(u, v)
 
-    return blocked_rows(placed.join(mixed, "k"), ["_d", "fp", "c"], pairs, block).where("u <> v").distinct()
+    return blocked_rows(_mixed(rows, comps), ["_d", "fp", "c", "nu"], pairs, block).where("u <> v").distinct()
 
 
 def groups(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """docs (doc_id, text, _d = hash of both): (_d, doc_id, component) for each row."""
     each = cut(_sketches(docs, size))
-    classes = cut(each.select("k", "_d", "fp", "near").dropDuplicates(["k"]))
-    rows = cut(key_rows(classes))
+    classes = cut(each.select("k", "_d", "fp", "near", "n").dropDuplicates(["k"]))
+    rows, place = stored(key_rows(classes))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -190,6 +231,13 @@ def groups(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY, bl
                 part = b.slice(at, 128)
                 yield pa.record_batch([part.column(0), pa.array([_shingle_set(t, size).tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["_d", "h"])
 
+    def each_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 128):
+                part = b.slice(at, 128)
+                own = [_shingle_set(t, size) for t in part.column(1).to_pylist()]
+                yield pa.record_batch([pa.array(np.concatenate(own).view(np.int64)), pa.array(np.repeat(np.asarray(part.column(0)), [len(x) for x in own]))], names=["h", "_d"])
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y = ([np.frombuffer(h.as_buffer(), np.uint64) for h in b.column(i)] for i in (2, 3))
@@ -205,14 +253,40 @@ def groups(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY, bl
         both = one.join(shingles.select(F.col("_d").alias("v"), F.col("h").alias("hv")), "v").select("u", "v", "hu", "hv")
         return cut(both.mapInArrow(verify, "u long, v long"))
 
-    edges = cut(candidates(rows, similarity, block))
-    near = verified(edges)
-    rest = cut(unconnected(rows, components(near), similarity, block).join(edges, ["u", "v"], "left_anti"))
-    comps = components(near.unionByName(verified(rest)))
+    asked = cut(rows.select("_d").distinct())
+    few = asked.count() <= BROADCAST_ROWS
+    texts = docs.select("_d", "text").join(F.broadcast(asked) if few else asked, "_d", "left_semi").dropDuplicates(["_d"])
+    alone = texts.mapInArrow(each_shingle, "h long, _d long").groupBy("h").agg(F.count("*").alias("n"), F.min("_d").alias("_d")).where("n = 1")
+    counts = classes.select("_d", "n").join(alone.groupBy("_d").agg(F.count("*").alias("u")), "_d", "left")
+    counts = cut(asked.join(counts, "_d").select("_d", (F.shiftleft("n", 32) + F.coalesce("u", F.lit(0))).alias("nu")))
+    known = rows.join(F.broadcast(counts) if few else counts, "_d")
+    rows, now = stored(hopeful(known, similarity))
+    remove(docs.sparkSession, place)
+    place = now
+    tried = cut(representatives(rows, similarity))
+    links = verified(tried)
+    comps = components(links)
+    rows, place = _fewer(rows, comps, place)  # a key of one component has nothing to add in later rounds
+    for turn in (nearest_of_others, unconnected):
+        more = cut(turn(rows, comps, similarity, block).join(tried, ["u", "v"], "left_anti"))
+        if not more.head(1):
+            continue
+        tried = tried.unionByName(more)
+        links = links.unionByName(verified(more))
+        comps = components(links)
+        rows, place = _fewer(rows, comps, place)
+    remove(docs.sparkSession, place)
     named = classes.select("k", "_d").join(comps.withColumnRenamed("id", "_d"), "_d", "left").select("k", F.coalesce("component", "_d").alias("component"))
     return each.select("_d", "doc_id", "k").join(named, "k").select("_d", "doc_id", "component")
 
 
+def _fewer(rows: DataFrame, comps: DataFrame, place: str) -> tuple[DataFrame, str]:
+    """The rows of keys with several components, as a table that takes the place of the one before."""
+    left, now = stored(_mixed(rows, comps).drop("c"))
+    remove(rows.sparkSession, place)
+    return left, now
+
+
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The columns of docs (doc_id, text and more), one row for each group of near-duplicates."""
     names = docs.columns
