@@ -11,18 +11,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.vectors import distances, matrix
 
-#: rows of a batch times centroids held at once by the distance kernel
-CELLS = 4_000_000
+CELLS = 4_000_000  #: rows of a batch times centroids held at once by the distance kernel
+FILE_ROWS = 250_000  #: vectors of a file of a saved index
+HEAD_ROWS = 1_000_000  #: ids of heads (12 bytes each) up to which they are broadcast
+
+
+def finite(column: str) -> Column:
+    """Whether the vector is there and all its elements are numbers: none null, NaN or infinite."""
+    return F.coalesce(F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
 
 
 def valid(vectors: DataFrame) -> DataFrame:
-    """Vectors that can be searched: vec_id and embedding are there. Further columns are dropped."""
-    return vectors.select("vec_id", "embedding").where("vec_id IS NOT NULL AND embedding IS NOT NULL")
+    """Vectors that can be searched: vec_id is there and the embedding is finite. Others are left out, further columns dropped."""
+    return vectors.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & finite("embedding"))
 
 
 def dimension(vectors: DataFrame) -> int:
@@ -126,19 +132,26 @@ class IvfIndex:
         return self.lists.groupBy("cid").agg(F.sort_array(F.collect_list("vec_id")).alias("vec_ids"))
 
     def heads(self, count: int) -> DataFrame:
-        """The first `count` vectors of each cluster by vec_id: vec_id, cid, list_pos, embedding. No more leave a task."""
+        """The first `count` vectors of each cluster by vec_id: vec_id, cid, list_pos, embedding. Only ids are ranked; vectors stay
+        where they are. Rows with the same id have its first place.
+        """
         place = F.row_number().over(Window.partitionBy("cid").orderBy("vec_id"))
-        return self.lists.withColumn("list_pos", place).where(F.col("list_pos") <= count).select("vec_id", "cid", "list_pos", "embedding")
+        ids = self.lists.select("cid", "vec_id").withColumn("list_pos", place).where(F.col("list_pos") <= count)
+        ids = ids.groupBy("cid", "vec_id").agg(F.min("list_pos").alias("list_pos"))
+        few = self.nlist * count <= HEAD_ROWS
+        return self.lists.join(F.broadcast(ids) if few else ids, ["cid", "vec_id"]).select("vec_id", "cid", "list_pos", "embedding")
 
     def save(self, path: str) -> None:
-        """Lists partitioned by cluster, so a search reads the probed ones only."""
-        self.lists.repartition("cid", F.pmod(F.xxhash64("vec_id"), F.lit(16))).write.mode("overwrite").partitionBy("cid").parquet(f"{path}/lists")
+        """Lists partitioned by cluster, so a search reads the probed ones only; a cluster has a file for each FILE_ROWS vectors."""
+        files = self.sizes().select("cid", F.ceil(F.col("size") / FILE_ROWS).cast("int").alias("_f"))
+        dealt = self.lists.join(F.broadcast(files), "cid").withColumn("_f", F.pmod(F.xxhash64("vec_id"), "_f"))  # a row for each cluster
+        dealt.repartition("cid", "_f").drop("_f").write.mode("overwrite").partitionBy("cid").parquet(f"{path}/lists")
         self.centroid_table().coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> IvfIndex:
         rows = spark.read.parquet(f"{path}/centroids").orderBy("cid").collect()
-        lists = spark.read.parquet(f"{path}/lists").select("vec_id", F.col("cid").cast("int").alias("cid"), "cdist", "embedding")
+        lists = spark.read.schema("vec_id long, cdist double, embedding array<float>, cid int").parquet(f"{path}/lists").select("vec_id", "cid", "cdist", "embedding")
         return IvfIndex(np.array([r["centroid"] for r in rows]), lists)
 
 

@@ -3,7 +3,8 @@
 Queries go to the vectors, not the other way round: a block of queries of bounded size is broadcast, every task keeps
 the k best for each query, and only these are shuffled. More queries take more blocks.
 
-Ties go to the lower id everywhere. Fewer than k candidates give fewer rows.
+Ties go to the lower id everywhere. Fewer than k candidates give fewer rows. Queries with the same qid count once: the first by
+the order of vectors.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.vectors import distances, matrix, pair_distances, slice_bounds
-from lodestar.operators.kmeans import IvfIndex, dimension
+from lodestar.operators.kmeans import IvfIndex, dimension, valid
 
 QUERY_CELLS = 8_000_000  #: numbers of a block of queries, 64 MB in double precision
 CELLS = 4_000_000  #: distances held at once
@@ -32,8 +33,8 @@ def _need(**least: int) -> None:
 
 
 def query_set(vectors: DataFrame) -> DataFrame:
-    """vectors (vec_id, embedding) as queries (qid, qv); null ones are no queries."""
-    return vectors.where("vec_id IS NOT NULL AND embedding IS NOT NULL").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
+    """vectors (vec_id, embedding) as queries (qid, qv); null ones and those that aren't finite are no queries."""
+    return valid(vectors).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
 
 
 def first_queries(queries: DataFrame, nq: int) -> DataFrame:
@@ -44,7 +45,11 @@ def first_queries(queries: DataFrame, nq: int) -> DataFrame:
 def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(ids, vectors) of blocks of queries in the order of qid, none larger than QUERY_CELLS."""
     ids, rows, size = [], [], 0
-    for r in queries.orderBy("qid").toLocalIterator(prefetchPartitions=True):
+    last = None
+    for r in queries.select("qid", "qv").orderBy("qid", "qv").toLocalIterator(prefetchPartitions=True):
+        if r["qid"] == last:
+            continue
+        last = r["qid"]
         ids.append(r["qid"])
         rows.append(r["qv"])
         size += len(r["qv"])
@@ -115,6 +120,13 @@ def _none(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([], RESULT)
 
 
+def _nearest(q: np.ndarray, centroids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(clusters, distances) of the n nearest clusters of each query."""
+    d = distances(q, centroids).T
+    near = np.argsort(d, axis=1, kind="stable")[:, :n]
+    return near, np.take_along_axis(d, near, axis=1)
+
+
 def nearest_clusters(queries: DataFrame, index: IvfIndex, nprobe: int) -> DataFrame:
     """qid, prank (from 1), cid, cdist of the nprobe nearest clusters; all if there are fewer."""
     _need(nprobe=nprobe)
@@ -127,29 +139,30 @@ def nearest_clusters(queries: DataFrame, index: IvfIndex, nprobe: int) -> DataFr
         for b in batches:
             for at in range(0, b.num_rows, max(1, CELLS // len(shared.value))):
                 part = b.slice(at, max(1, CELLS // len(shared.value)))
-                d = distances(matrix(part.column(1)), shared.value).T
-                near = np.argsort(d, axis=1, kind="stable")[:, :n]
-                yield pa.record_batch([pa.array(np.repeat(np.asarray(part.column(0)), n)), pa.array(np.tile(np.arange(1, n + 1, dtype=np.int32), len(d))), pa.array(near.ravel().astype(np.int32)), pa.array(np.take_along_axis(d, near, axis=1).ravel())], names=["qid", "prank", "cid", "cdist"])
+                near, d = _nearest(matrix(part.column(1)), shared.value, n)
+                yield pa.record_batch([pa.array(np.repeat(np.asarray(part.column(0)), n)), pa.array(np.tile(np.arange(1, n + 1, dtype=np.int32), len(near))), pa.array(near.ravel().astype(np.int32)), pa.array(d.ravel())], names=["qid", "prank", "cid", "cdist"])
 
     return queries.select("qid", "qv").mapInArrow(run, "qid long, prank int, cid int, cdist double")
 
 
-def ivf_search(index: IvfIndex, queries: DataFrame, nprobe: int, k: int, tau: DataFrame | None = None, b_dim: int = 1, skip_seeds: int = 0) -> DataFrame:
+def ivf_search(index: IvfIndex, queries: DataFrame, nprobe: int, k: int, tau: DataFrame | None = None, b_dim: int = 1, abandon: bool = True) -> DataFrame:
     """qid, rk, vec_id, dist over the vectors of the nprobe nearest clusters.
 
     With b_dim > 1, distances add up slice by slice, and a candidate is dropped once its sum is above its query's
-    threshold: the least of tau (qid, tau) and the k-th distance met in the task. The result is the same.
+    threshold: the least of tau (qid, tau) and the k-th distance met in the task, or never, if told not to abandon any. The
+    result is the same.
     """
     _need(nprobe=nprobe, k=k, b_dim=b_dim)
     bounds = slice_bounds(index.dim, b_dim)
     found = None
     limits = {r["qid"]: r["tau"] for r in tau.collect()} if tau is not None else {}  # a number for each query
     for qids, q in _blocks(queries):
-        own = queries.where((F.col("qid") >= int(qids[0])) & (F.col("qid") <= int(qids[-1])))
         probed = defaultdict(list)
-        place = {v: i for i, v in enumerate(qids.tolist())}
-        for r in nearest_clusters(own, index, nprobe).collect():  # nprobe rows for each query of the block
-            probed[r["cid"]].append(place[r["qid"]])
+        if index.nlist:
+            for at in range(0, len(q), step := max(1, CELLS // index.nlist)):
+                for i, near in enumerate(_nearest(q[at : at + step], index.centroids, min(nprobe, index.nlist))[0].tolist(), at):
+                    for cid in near:
+                        probed[cid].append(i)
         start = np.array([limits.get(v, np.inf) for v in qids.tolist()])
         shared = queries.sparkSession.sparkContext.broadcast((qids, q, {c: np.array(v) for c, v in probed.items()}, start))
 
@@ -171,7 +184,7 @@ def ivf_search(index: IvfIndex, queries: DataFrame, nprobe: int, k: int, tau: Da
                 for i, w in enumerate(who.tolist()):
                     best.add(w, d[i], ids)
                 return
-            limit = np.array([min(start[w], best.worst(w)) for w in who.tolist()]) * SLACK
+            limit = np.array([min(start[w], best.worst(w)) if abandon else np.inf for w in who.tolist()]) * SLACK
             mine = q[who]
             first = distances(x, mine, *bounds[0])
             i, j = np.nonzero(first <= limit[:, None])
@@ -209,7 +222,7 @@ def prewarm_tau(index: IvfIndex, queries: DataFrame, prewarm: int, k: int) -> Da
 def ivf_search_pruned(index: IvfIndex, queries: DataFrame, nprobe: int, k: int, prewarm: int = 500, b_dim: int = 4, pruning: bool = True) -> DataFrame:
     """ivf_search with thresholds from seeds and early abandoning; without pruning, slices add up and nothing is dropped early."""
     if not pruning:
-        return ivf_search(index, queries, nprobe, k)
+        return ivf_search(index, queries, nprobe, k, b_dim=b_dim, abandon=False)
     return ivf_search(index, queries, nprobe, k, prewarm_tau(index, queries, prewarm, k), b_dim)
 
 

@@ -5,8 +5,7 @@ Queries are the rows whose vec_id is divisible by 20; they are searched against
 
 from __future__ import annotations
 
-import os
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +15,7 @@ from lodestar.functions.vectors import l2_partial, l2_squared, register_sql, sli
 from lodestar.operators import evaluate, kmeans, search
 from lodestar.plans import layout
 from lodestar.sources import flatvec
+from lodestar.sources.shared import shared_folder
 
 NLIST, ITERS, SEED, NPROBE, K, PREWARM, B_DIM, WORKERS, DIM = 16, 3, 42, 4, 10, 20, 4, 4, 64
 Query = Callable[[SparkSession, str], DataFrame]
@@ -151,8 +151,8 @@ def mean_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def result_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i, q = index(spark, sf_dir), queried(spark, sf_dir)
-    return evaluate.compare_results(search.ivf_search_pruned(i, q, NPROBE, K, PREWARM, B_DIM), search.ivf_search(i, q, NPROBE, K))
+    """The search in few clusters against the exact one: some queries' neighbours are equal, others differ."""
+    return evaluate.compare_results(ivf_search(spark, sf_dir), exact_knn(spark, sf_dir))
 
 
 def prewarm_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,18 +233,28 @@ def batch_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flatvec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written to a flat file and read back: vec_id is the position, which equals the id where ids run from 0."""
-    folder = tempfile.mkdtemp(prefix="flatvec-")
-    path = os.path.join(folder, "base.bin")
+    path = f"{shared_folder(spark).removeprefix('file://').removeprefix('file:')}/flatvec-{uuid.uuid4().hex}.bin"
     flatvec.write_vectors(vectors(spark, sf_dir), path)
     return flatvec.read_vectors(spark, path, rows_per_partition=1000)
 
 
+def stored_index(spark: SparkSession, sf_dir: str) -> kmeans.IvfIndex:
+    """The index, saved by cluster in the shared folder and loaded again: a search reads the probed clusters' files only."""
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    index(spark, sf_dir).save(path)
+    return kmeans.IvfIndex.load(spark, path)
+
+
+def ivf_search_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ivf_search_pruned(stored_index(spark, sf_dir), queried(spark, sf_dir), NPROBE, K, PREWARM, B_DIM)
+
+
 ALL = (
     dataset_stats, point_lookup, l2_functions, l2_sql_function, query_limit, slice_plan, exact_knn, sliced_distance, running_partial_sum, slice_reassembly,
     centroid_init, assign_clusters, kmeans_centroids, kmeans_assign, inverted_lists, cluster_sizes, nearest_clusters,
     ivf_search, ivf_search_sliced, ivf_search_all_probes, ivf_search_pruned, ivf_search_unpruned, recall_at_k, mean_recall, result_compare,
     prewarm_seeds, prewarm_tau, stage_survivors, pruning_report, scanned_by_row, cluster_hits, grid_layout, grid_cells,
-    row_load_imbalance, imbalance_without_warmup, prune_factor, plan_costs, choose_plan, batch_schedule, flatvec_roundtrip,
+    row_load_imbalance, imbalance_without_warmup, prune_factor, plan_costs, choose_plan, batch_schedule, flatvec_roundtrip, ivf_search_stored,
 )
 
 
@@ -371,7 +381,9 @@ def oracle_sql() -> dict[str, str]:
         "imbalance_without_warmup": with_(idx) + f"SELECT round(stddev_pop(l), 6) AS imbalance, sum(l) AS total FROM (SELECT cid % 4 AS r, sum(size)::DOUBLE * {DIM} AS l FROM sizes GROUP BY 1)",
         "recall_at_k": rec + "SELECT qid, recall FROM re",
         "mean_recall": rec + "SELECT round(avg(recall), 6) AS recall, count(*) AS queries FROM re",
-        "result_compare": with_(_BASE) + "SELECT qid, TRUE AS same_ids, TRUE AS same_dists, 'equal' AS verdict FROM q",
+        "ivf_search_stored": ivf,
+        "result_compare": with_(idx, pro, fnd, _exact(), *(f"l{t} AS (SELECT qid, list(vec_id ORDER BY vec_id) AS i, list(round(dist, 9) ORDER BY dist) AS d FROM {t} GROUP BY qid)" for t in ("ivf", "ex")))
+        + "SELECT qid, a.i IS NOT DISTINCT FROM b.i AS same_ids, a.d IS NOT DISTINCT FROM b.d AS same_dists, CASE WHEN a.i IS NOT DISTINCT FROM b.i THEN 'equal' WHEN a.d IS NOT DISTINCT FROM b.d THEN 'tie' ELSE 'different' END AS verdict FROM livf a FULL JOIN lex b USING (qid)",
         "prewarm_seeds": with_(idx, pro, fnd, sed) + "SELECT qid, cid, list_pos, vec_id, dist FROM se",
         "prewarm_tau": with_(idx, pro, fnd, sed) + "SELECT qid, tau FROM ta",
         "stage_survivors": depth + "SELECT stage, processed FROM st",

@@ -65,7 +65,7 @@ def plan(cfg: Config, index: kmeans.IvfIndex, queries: DataFrame) -> tuple[int,
 
 
 def run(cfg: Config, base: DataFrame, queries: DataFrame, truth: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """base (vec_id, embedding), queries (qid, qv): (qid, rk, vec_id, dist) and a report (metric, value)."""
+    """base (vec_id, embedding), queries (qid, qv): (qid, rk, vec_id, dist), kept in memory, and a report (metric, value)."""
     spark, out = base.sparkSession, []
     say = lambda metric, value: out.append((metric, float(value)))
     began = time.perf_counter()
@@ -91,11 +91,14 @@ def run(cfg: Config, base: DataFrame, queries: DataFrame, truth: DataFrame | Non
     say("differing", verdicts.get("different", 0))
     say("ties", verdicts.get("tie", 0))
     depth = search.stage_depth(index, asked, cfg.nprobe, cfg.k, cfg.prewarm, b_dim, bool(cfg.pruning))
-    for r in evaluate.pruning_report(depth.persist(), b_dim).orderBy("stage").collect():
+    depth = depth.persist()
+    for r in evaluate.pruning_report(depth, b_dim).orderBy("stage").collect():
         if r["stage"] == 1:
             for metric in ("scanned", "prewarmed", "work_pct"):
                 say(metric, r[metric] or 0)
         say(f"skipped_pct_slice_{r['stage']}", r["skipped_pct"] or 0)
+    for held in (depth, asked, index.lists):
+        held.unpersist()
     return found, spark.createDataFrame(out, "metric string, value double")
 
 

@@ -148,3 +148,37 @@ def test_timed(setup):
     _, _, index, q = setup
     rows, report = evaluate.timed(lambda: search.ivf_search(index, search.first_queries(q, 3), 2, 2), 3)
     assert rows.count() == 6 and report["qps"] > 0
+
+
+def test_vectors_that_are_not_finite_are_left_out(spark, setup):
+    x, v, _, _ = setup
+    nan, inf = float("nan"), float("inf")
+    odd = spark.createDataFrame([(1000, [nan] * 10), (1001, [inf] + [0.0] * 9), (1002, [None] * 10)], "vec_id long, embedding array<float>")
+    sizes = lambda t: sorted(map(tuple, kmeans.build_index(t, 8, 3).sizes().collect()))
+    assert sizes(v.unionByName(odd)) == sizes(v)
+    assert search.query_set(odd).count() == 0
+
+
+def test_queries_with_the_same_id_count_once(setup):
+    _, v, index, q = setup
+    twice = q.unionByName(q)
+    assert as_set(search.ivf_search(index, twice, 3, 5)) == as_set(search.ivf_search(index, q, 3, 5))
+    assert as_set(search.exact_knn(v, twice, 5)) == as_set(search.exact_knn(v, q, 5))
+
+
+def test_search_reads_only_probed_clusters(spark, setup, tmp_path):
+    _, _, index, q = setup
+    index.save(str(tmp_path / "index"))
+    again = kmeans.IvfIndex.load(spark, str(tmp_path / "index"))
+    found = search.ivf_search(again, search.first_queries(q, 1), 2, 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [cid" in plan or "PartitionFilters: [isnotnull(cid" in plan
+    read = {f.split("cid=")[1].split("/")[0] for f in again.lists.where(F.col("cid").isin([r["cid"] for r in search.nearest_clusters(search.first_queries(q, 1), again, 2).collect()])).inputFiles()}
+    assert len(read) >= 2 and as_set(found) == as_set(search.ivf_search(index, search.first_queries(q, 1), 2, 5))
+
+
+def test_heads_rank_ids_alone(setup):
+    _, _, index, _ = setup
+    plan = index.heads(5)._jdf.queryExecution().optimizedPlan().toString()
+    window = [line for line in plan.split("\n") if "Window" in line and "embedding" in line]
+    assert not window and "Window" in plan
