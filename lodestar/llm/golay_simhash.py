@@ -56,34 +56,6 @@ def shingle_hashes(text: str | None, size: int) -> np.ndarray:
     return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, ends[size - 1 :])), np.uint64, len(starts))
 
 
-class _WordHashes(dict):
-    """The hash of a word, kept for the next time."""
-
-    LIMIT = 500_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word, 42)
-        return h
-
-
-_word_hashes = _WordHashes()
-
-
-def sequence_hashes(w: list[bytes], size: int) -> np.ndarray:
-    """A 64-bit hash of each run of size words, of the words' hashes; fewer words make one run, none make none."""
-    x = np.fromiter(map(_word_hashes.__getitem__, w), np.uint64, len(w))
-    size = min(size, len(w))
-    n = len(w) - size + 1 if size else 0
-    h = np.full(n, size, np.uint64)
-    for i in range(size):
-        h = (h ^ x[i : i + n]) * np.uint64(0x9FB21C651E98DF25)
-        h ^= h >> np.uint64(29)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    return h ^ h >> np.uint64(32)
-
-
 def fingerprint(hashes: np.ndarray) -> int:
     """Bit i is set if it is set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
