@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -34,9 +34,14 @@ def compare_results(a: DataFrame, b: DataFrame, digits: int = 9) -> DataFrame:
     return both.select("qid", ids.alias("same_ids"), dists.alias("same_dists"), F.when(ids, "equal").when(dists, "tie").otherwise("different").alias("verdict"))
 
 
+def _n(depth: DataFrame) -> Column:
+    """Candidates of a row: n in the rows of stage_counts, 1 in those of stage_depth."""
+    return F.col("n") if "n" in depth.columns else F.lit(1)
+
+
 def stage_survivors(depth: DataFrame, b_dim: int) -> DataFrame:
-    """stage (from 1), processed: candidates of stage_depth that are summed over the stage's slice, seeds left out."""
-    reached = depth.where("not seeded").groupBy("stages").agg(F.count("*").alias("n"))
+    """stage (from 1), processed: candidates of stage_counts or stage_depth that are summed over the stage's slice, seeds left out."""
+    reached = depth.where("not seeded").groupBy("stages").agg(F.sum(_n(depth)).alias("n"))
     every = depth.sparkSession.range(1, b_dim + 1).select(F.col("id").cast("int").alias("stage"))
     joined = every.join(F.broadcast(reached), F.col("stages") >= F.col("stage"), "left")  # at most b_dim + 1 rows
     return joined.groupBy("stage").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("processed"))
@@ -44,7 +49,8 @@ def stage_survivors(depth: DataFrame, b_dim: int) -> DataFrame:
 
 def pruning_report(depth: DataFrame, b_dim: int) -> DataFrame:
     """stage, processed, skipped_pct, and for the whole: scanned, prewarmed, work_pct (executed of all slice sums)."""
-    whole = depth.agg(F.sum(F.when(F.col("seeded"), 0).otherwise(1)).alias("scanned"), F.sum(F.when(F.col("seeded"), 1).otherwise(0)).alias("prewarmed"), F.sum("stages").alias("_done"))
+    n = _n(depth)
+    whole = depth.agg(F.sum(F.when(F.col("seeded"), 0).otherwise(n)).alias("scanned"), F.sum(F.when(F.col("seeded"), n).otherwise(0)).alias("prewarmed"), F.sum(F.col("stages") * n).alias("_done"))
     per = stage_survivors(depth, b_dim).join(F.broadcast(whole))  # one row
     return per.select(
         "stage", "processed",

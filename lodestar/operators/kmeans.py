@@ -135,12 +135,18 @@ class IvfIndex:
         """The first `count` vectors of each cluster by vec_id: vec_id, cid, list_pos, embedding. Only ids are ranked; vectors stay
         where they are. Rows with the same id have its first place.
         """
-        place = F.row_number().over(Window.partitionBy("cid").orderBy("vec_id"))
-        ids = self.lists.select("cid", "vec_id").withColumn("list_pos", place).where(F.col("list_pos") <= count)
-        ids = ids.groupBy("cid", "vec_id").agg(F.min("list_pos").alias("list_pos"))
+        ids = self._first_ids(count).groupBy("cid", "vec_id").agg(F.min("list_pos").alias("list_pos"))
         few = self.nlist * count <= HEAD_ROWS
         return self.lists.join(F.broadcast(ids) if few else ids, ["cid", "vec_id"]).select("vec_id", "cid", "list_pos", "embedding")
 
+    def head_ends(self, count: int) -> dict[int, int]:
+        """The last id of the first `count` vectors of each cluster: a number for each cluster that has any."""
+        return {r["cid"]: r["last"] for r in self._first_ids(count).groupBy("cid").agg(F.max("vec_id").alias("last")).collect()}
+
+    def _first_ids(self, count: int) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("cid").orderBy("vec_id"))
+        return self.lists.select("cid", "vec_id").withColumn("list_pos", place).where(F.col("list_pos") <= count)
+
     def save(self, path: str) -> None:
         """Lists partitioned by cluster, so a search reads the probed ones only; a cluster has a file for each FILE_ROWS vectors."""
         files = self.sizes().select("cid", F.ceil(F.col("size") / FILE_ROWS).cast("int").alias("_f"))

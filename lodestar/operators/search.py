@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.vectors import distances, matrix, pair_distances, slice_bounds
 from lodestar.operators.kmeans import IvfIndex, dimension, valid
+from lodestar.sources.shared import shared_folder
 
 QUERY_CELLS = 8_000_000  #: numbers of a block of queries, 64 MB in double precision
 CELLS = 4_000_000  #: distances held at once
@@ -145,49 +146,72 @@ def nearest_clusters(queries: DataFrame, index: IvfIndex, nprobe: int) -> DataFr
     return queries.select("qid", "qv").mapInArrow(run, "qid long, prank int, cid int, cdist double")
 
 
-def ivf_search(index: IvfIndex, queries: DataFrame, nprobe: int, k: int, tau: DataFrame | None = None, b_dim: int = 1, abandon: bool = True) -> DataFrame:
+def _probes(q: np.ndarray, index: IvfIndex, nprobe: int) -> tuple[dict[int, np.ndarray], np.ndarray]:
+    """The places in q of the queries that probe each cluster, and the nearest cluster of each query."""
+    probed, nearest = defaultdict(list), np.full(len(q), -1)
+    if index.nlist:
+        for at in range(0, len(q), step := max(1, CELLS // index.nlist)):
+            near = _nearest(q[at : at + step], index.centroids, min(nprobe, index.nlist))[0]
+            nearest[at : at + step] = near[:, 0]
+            for i, cids in enumerate(near.tolist(), at):
+                for cid in cids:
+                    probed[cid].append(i)
+    return {c: np.array(v) for c, v in probed.items()}, nearest
+
+
+def _by_cluster(batches: Iterator[pa.RecordBatch], probed: dict[int, np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(cid, ids, vectors) of batches (cid, vec_id, embedding), no more at once than CELLS pairs with the queries of the cluster."""
+    for b in batches:
+        cids = np.asarray(b.column(0))
+        for c in np.unique(cids).tolist():
+            at, step = np.flatnonzero(cids == c), max(1, CELLS // len(probed[c]))
+            for lo in range(0, len(at), step):
+                rows = b.take(pa.array(at[lo : lo + step]))
+                yield c, np.asarray(rows.column(1)), matrix(rows.column(2))
+
+
+def _seeded(c: int, ids: np.ndarray, nearest: np.ndarray, ends: dict[int, int]) -> np.ndarray:
+    """(queries, vectors): whether a vector of cluster c is a seed of the query; nearest is the queries' nearest cluster."""
+    if c not in ends:
+        return np.zeros((len(nearest), len(ids)), bool)
+    return (nearest == c)[:, None] & (ids <= ends[c])[None, :]
+
+
+def ivf_search(index: IvfIndex, queries: DataFrame, nprobe: int, k: int, tau: DataFrame | None = None, b_dim: int = 1, abandon: bool = True, ends: dict[int, int] | None = None) -> DataFrame:
     """qid, rk, vec_id, dist over the vectors of the nprobe nearest clusters.
 
     With b_dim > 1, distances add up slice by slice, and a candidate is dropped once its sum is above its query's
     threshold: the least of tau (qid, tau) and the k-th distance met in the task, or never, if told not to abandon any. The
-    result is the same.
+    result is the same. Seeds, which are vectors of the query's nearest cluster with an id up to the cluster's in ends, are
+    skipped: the caller adds theirs.
     """
     _need(nprobe=nprobe, k=k, b_dim=b_dim)
-    bounds = slice_bounds(index.dim, b_dim)
+    bounds, ends = slice_bounds(index.dim, b_dim), ends or {}
     found = None
     limits = {r["qid"]: r["tau"] for r in tau.collect()} if tau is not None else {}  # a number for each query
     for qids, q in _blocks(queries):
-        probed = defaultdict(list)
-        if index.nlist:
-            for at in range(0, len(q), step := max(1, CELLS // index.nlist)):
-                for i, near in enumerate(_nearest(q[at : at + step], index.centroids, min(nprobe, index.nlist))[0].tolist(), at):
-                    for cid in near:
-                        probed[cid].append(i)
+        probed, nearest = _probes(q, index, nprobe)
         start = np.array([limits.get(v, np.inf) for v in qids.tolist()])
-        shared = queries.sparkSession.sparkContext.broadcast((qids, q, {c: np.array(v) for c, v in probed.items()}, start))
+        shared = queries.sparkSession.sparkContext.broadcast((qids, q, probed, nearest, start))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            qids, q, probed, start = shared.value
+            qids, q, probed, nearest, start = shared.value
             best = TopK(len(qids), k)
-            for b in batches:
-                cids = np.asarray(b.column(0))
-                for c in np.unique(cids).tolist():
-                    at = np.flatnonzero(cids == c)
-                    for lo in range(0, len(at), max(1, CELLS // len(probed[c]))):
-                        rows = b.take(pa.array(at[lo : lo + max(1, CELLS // len(probed[c]))]))
-                        _scan(matrix(rows.column(2)), np.asarray(rows.column(1)), q, probed[c], start, best)
+            for c, ids, x in _by_cluster(batches, probed):
+                _scan(x, ids, q, probed[c], start, best, _seeded(c, ids, nearest[probed[c]], ends))
             yield best.rows(qids)
 
-        def _scan(x, ids, q, who, start, best) -> None:
+        def _scan(x, ids, q, who, start, best, known) -> None:
             if len(bounds) == 1:
                 d = distances(x, q[who])
                 for i, w in enumerate(who.tolist()):
-                    best.add(w, d[i], ids)
+                    new = ~known[i]
+                    best.add(w, d[i][new], ids[new])
                 return
             limit = np.array([min(start[w], best.worst(w)) if abandon else np.inf for w in who.tolist()]) * SLACK
             mine = q[who]
             first = distances(x, mine, *bounds[0])
-            i, j = np.nonzero(first <= limit[:, None])
+            i, j = np.nonzero((first <= limit[:, None]) & ~known)
             sums = first[i, j]
             for lo, hi in bounds[1:]:
                 sums = pair_distances(x, mine, lo, hi, sums, j, i)
@@ -220,15 +244,88 @@ def prewarm_tau(index: IvfIndex, queries: DataFrame, prewarm: int, k: int) -> Da
 
 
 def ivf_search_pruned(index: IvfIndex, queries: DataFrame, nprobe: int, k: int, prewarm: int = 500, b_dim: int = 4, pruning: bool = True) -> DataFrame:
-    """ivf_search with thresholds from seeds and early abandoning; without pruning, slices add up and nothing is dropped early."""
+    """ivf_search with thresholds from seeds and early abandoning; without pruning, slices add up and nothing is dropped early.
+
+    The k best seeds of each query are found once and written to the shared folder: they give the thresholds and are part of the result,
+    and the search skips all seeds.
+    """
+    _need(nprobe=nprobe, k=k, b_dim=b_dim)
     if not pruning:
         return ivf_search(index, queries, nprobe, k, b_dim=b_dim, abandon=False)
-    return ivf_search(index, queries, nprobe, k, prewarm_tau(index, queries, prewarm, k), b_dim)
+    if prewarm < 1:
+        return ivf_search(index, queries, nprobe, k, b_dim=b_dim)
+    ends = index.head_ends(prewarm)
+    seeds = _cut(nearest_seeds(index, queries, k, ends))
+    rest = ivf_search(index, queries, nprobe, k, _kth(seeds, k), b_dim, ends=ends)
+    return top_k(rest.unionByName(seeds).drop("rk"), k).select("qid", "rk", "vec_id", "dist")
+
+
+def nearest_seeds(index: IvfIndex, queries: DataFrame, k: int, ends: dict[int, int]) -> DataFrame:
+    """qid, rk, vec_id, dist: the k best seeds of each query. Seeds are the vectors of its nearest cluster up to the id in ends."""
+    last = F.create_map(*[F.lit(v) for pair in ends.items() for v in pair]) if ends else F.create_map().cast("map<int,long>")
+    heads = index.lists.where(F.col("vec_id") <= F.element_at(last, F.col("cid")))
+    return ivf_search(IvfIndex(index.centroids, heads), queries, 1, k)
+
+
+def _kth(seeds: DataFrame, k: int) -> DataFrame:
+    return seeds.where(F.col("rk") == k).select("qid", F.col("dist").alias("tau"))
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """df, written to the folder that driver and executors share."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
+
+
+def stage_counts(index: IvfIndex, queries: DataFrame, nprobe: int, k: int, prewarm: int, b_dim: int, pruning: bool = True) -> DataFrame:
+    """cid, seeded, stages, n: how many candidates of each cluster stage_depth gives that number of slices, on the same thresholds.
+
+    Queries are broadcast in blocks; a task counts in its kernel and sends a row for each cluster and number of slices.
+    """
+    _need(nprobe=nprobe, k=k, b_dim=b_dim)
+    bounds = slice_bounds(index.dim, b_dim)
+    ends = index.head_ends(prewarm) if prewarm > 0 else {}
+    tau = _kth(nearest_seeds(index, queries, k, ends), k) if ends and pruning else None
+    limits = {r["qid"]: r["tau"] for r in tau.collect()} if tau is not None else {}  # a number for each query
+    kind, found = "cid int, seeded boolean, stages int, n long", None
+    for qids, q in _blocks(queries):
+        probed, nearest = _probes(q, index, nprobe)
+        limit = np.array([limits.get(v, np.inf) for v in qids.tolist()]) * SLACK
+        shared = queries.sparkSession.sparkContext.broadcast((q, probed, nearest, limit))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            q, probed, nearest, limit = shared.value
+            counts = {}
+            for c, ids, x in _by_cluster(batches, probed):
+                who = probed[c]
+                known, mine, most = _seeded(c, ids, nearest[who], ends), q[who], limit[who]
+                here = counts.setdefault(c, np.zeros(b_dim + 1, np.int64))
+                here[0] += int(known.sum())
+                i, j = np.nonzero(~known)
+                sums = np.zeros(len(i))
+                for stage, (lo, hi) in enumerate(bounds, 1):
+                    sums = pair_distances(x, mine, lo, hi, sums, j, i)
+                    alive = sums <= most[i] if stage < b_dim else np.zeros(len(i), bool)
+                    here[stage] += len(i) - int(alive.sum())
+                    i, j, sums = i[alive], j[alive], sums[alive]
+            rows = [(c, s == 0, s, int(n)) for c, here in counts.items() for s, n in enumerate(here.tolist()) if n]
+            if rows:
+                yield pa.record_batch([pa.array(v, t) for v, t in zip(zip(*rows), (pa.int32(), pa.bool_(), pa.int32(), pa.int64()))], names=["cid", "seeded", "stages", "n"])
+
+        lists = index.lists.where(F.col("cid").isin([int(c) for c in probed])).select("cid", "vec_id", "embedding")
+        part = lists.mapInArrow(run, kind)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return queries.sparkSession.createDataFrame([], kind)
+    return found.groupBy("cid", "seeded", "stages").agg(F.sum("n").alias("n"))
 
 
 def stage_depth(index: IvfIndex, queries: DataFrame, nprobe: int, k: int, prewarm: int, b_dim: int, pruning: bool = True) -> DataFrame:
     """qid, cid, vec_id, seeded, stages: for each candidate of the probed clusters how many slices it is summed over with the
-    fixed threshold of the seeds. Seeds, whose distance is known already, have 0.
+    fixed threshold of the seeds. Seeds, whose distance is known already, have 0. A row for each candidate, for a few queries;
+    stage_counts counts without such rows.
     """
     _need(nprobe=nprobe, k=k, b_dim=b_dim)
     bounds = slice_bounds(index.dim, b_dim)

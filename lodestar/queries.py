@@ -166,7 +166,7 @@ def prewarm_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.stage_depth(index(spark, sf_dir), queried(spark, sf_dir), NPROBE, K, PREWARM, B_DIM)
+    return search.stage_counts(index(spark, sf_dir), queried(spark, sf_dir), NPROBE, K, PREWARM, B_DIM)
 
 
 def stage_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,7 +178,7 @@ def pruning_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scanned_by_row(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _depth(spark, sf_dir).groupBy((F.col("cid") % 2).alias("row")).agg(F.count("*").alias("scanned"))
+    return _depth(spark, sf_dir).groupBy((F.col("cid") % 2).alias("row")).agg(F.sum("n").alias("scanned"))
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,7 +90,7 @@ def run(cfg: Config, base: DataFrame, queries: DataFrame, truth: DataFrame | Non
     verdicts = {r["verdict"]: r["count"] for r in evaluate.compare_results(found, plain).groupBy("verdict").count().collect()}
     say("differing", verdicts.get("different", 0))
     say("ties", verdicts.get("tie", 0))
-    depth = search.stage_depth(index, asked, cfg.nprobe, cfg.k, cfg.prewarm, b_dim, bool(cfg.pruning))
+    depth = search.stage_counts(index, asked, cfg.nprobe, cfg.k, cfg.prewarm, b_dim, bool(cfg.pruning))
     depth = depth.persist()
     for r in evaluate.pruning_report(depth, b_dim).orderBy("stage").collect():
         if r["stage"] == 1:

@@ -182,3 +182,28 @@ def test_heads_rank_ids_alone(setup):
     plan = index.heads(5)._jdf.queryExecution().optimizedPlan().toString()
     window = [line for line in plan.split("\n") if "Window" in line and "embedding" in line]
     assert not window and "Window" in plan
+
+
+def test_counts_of_the_kernel_are_those_of_the_candidates(setup, monkeypatch):
+    _, _, index, q = setup
+    monkeypatch.setattr(search, "CELLS", 300)
+    for prewarm, pruning, b_dim in ((20, True, 4), (0, True, 3), (3, True, 1), (20, False, 4)):
+        rows = search.stage_depth(index, q, 3, 5, prewarm, b_dim, pruning)
+        want = sorted(map(tuple, rows.groupBy("cid", "seeded", "stages").count().collect()))
+        counts = search.stage_counts(index, q, 3, 5, prewarm, b_dim, pruning)
+        assert sorted(map(tuple, counts.collect())) == want
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    assert search.stage_counts(index, q.limit(0), 3, 5, 20, 4).count() == 0
+
+
+def test_seeds_are_skipped_by_the_search_and_added_once(spark, setup):
+    x, v, index, q = setup
+    ends = index.head_ends(20)
+    seeds = search.nearest_seeds(index, q, 5, ends)
+    every = search.top_k(search.prewarm_seeds(index, q, 20), 5)
+    assert as_set(seeds) == as_set(every.select("qid", "rk", "vec_id", "dist"))
+    rest = search.ivf_search(index, q, 3, 1000, b_dim=4, ends=ends)
+    own = search.prewarm_seeds(index, q, 20).select("qid", "vec_id")
+    assert rest.join(own, ["qid", "vec_id"], "left_semi").count() == 0
+    assert rest.count() + own.count() == search.ivf_search(index, q, 3, 1000).count()
