@@ -11,7 +11,9 @@ length; only its last sequence is padded. A row of a record batch is one sequenc
 
 All sequences of a batch have the same width, so token i of a shard is at a computed place of a memory map, without a copy
 (`open_shard`). Shards go out through Spark's own file writer, which commits each task once, to any store that Spark
-reaches: the last column's last byte is always zero, so a batch is a line that ends in a zero byte.
+reaches: the last column's last byte is always zero, so a batch is a line that ends in a zero byte. A shard is a fixed number of
+lines, at which the file writer starts another file, so that a task's range makes as many files as it takes; the last line has what
+is left of the shard's last document. A file has about SHARD_LINES MB, or more only by one document.
 
 Defined results: null text is empty and has only its end id; null doc_id comes first; rows with the same doc_id are
 documents of their own, ordered by a hash of the text; an empty table gives no files and no rows.
@@ -24,13 +26,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm import tokens
 from lodestar.llm.common import cut, shared_dir
 
 BATCH_SEQUENCES = 512
+SHARD_LINES = 256  #: of a file, each a batch
+SHARD_NUMBERS = 1_000_000  #: numbers of shards for each task: as many files as Spark lets a task write
 
 
 def schema(length: int, wide: bool = False) -> pa.Schema:
@@ -123,26 +127,48 @@ class ShardWriter:
         return self.sink.take()
 
 
-def write_shards(docs: DataFrame, path: str, vocabulary: str, length: int = 1024, end_id: int = 0, wide: bool = False) -> None:
-    """Writes the documents (doc_id, text) to path, a shard for each range of doc_id; file names are in order."""
-
-    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer = None
-        as_rows = lambda data: pa.record_batch([pa.array([data[:-1]], pa.binary())], names=["value"])
+def shard_lines(documents: Iterator[tuple[int | None, np.ndarray]], length: int, wide: bool, lines: int) -> Iterator[bytes]:
+    """The bytes of the shards of documents (doc_id, ids), in lines: each shard has as many, the last one as many at most."""
+    writer, done, held = None, 0, []
+    for doc_id, ids in documents:
+        writer = writer or ShardWriter(length, wide)
+        for data in writer.add(doc_id, ids):
+            if done < lines - 1:
+                yield data
+                done += 1
+            else:
+                held.append(data)
+        if done == lines - 1:
+            yield b"".join([*held, *writer.close()])
+            writer, done, held = None, 0, []
+    if writer:
+        yield b"".join(writer.close())
+
+
+def _line(data: bytes) -> pa.RecordBatch:
+    if data[-1]:
+        raise ValueError("a batch does not end in a zero byte")
+    return pa.record_batch([pa.array([data[:-1]], pa.binary())], names=["value"])
+
+
+def write_shards(docs: DataFrame, path: str, vocabulary: str, length: int = 1024, end_id: int = 0, wide: bool = False, lines: int = SHARD_LINES) -> None:
+    """Writes the documents (doc_id, text) to path, shards of ranges of doc_id; file names are in order."""
+    if lines < 1:
+        raise ValueError("a shard has at least one line")
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, np.ndarray]]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 for doc_id, ids in zip(part.column(0).to_pylist(), tokens.encode(part.column(1).to_pylist(), vocabulary)):
-                    writer = writer or ShardWriter(length, wide)
-                    for data in writer.add(doc_id, np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id))):
-                        yield as_rows(data)
-        if writer:
-            for data in writer.close():
-                yield as_rows(data)
+                    yield doc_id, np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id))
+
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return map(_line, shard_lines(encoded(batches), length, wide, lines))
 
     ranged = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
-    lines = ranged.drop("h").mapInArrow(shards, "value binary").select(F.col("value").cast("string"))
-    lines.write.option("lineSep", "\0").text(path)
+    rows = ranged.drop("h").mapInArrow(shards, "value binary").select(F.col("value").cast("string"))
+    rows.write.option("lineSep", "\0").option("maxRecordsPerFile", lines).text(path)
 
 
 def open_shard(source) -> list[pa.RecordBatch]:
@@ -152,8 +178,14 @@ def open_shard(source) -> list[pa.RecordBatch]:
         return list(reader)
 
 
+def shard_number(path: Column) -> Column:
+    """The number of a file in the order of documents, from its task and its place in the task (part-TASK-JOB-cPLACE.txt)."""
+    task, place = (F.regexp_extract(path, pattern, 1).cast("long") for pattern in (r"part-(\d+)[^/]*$", r"-c(\d+)\.[^/]*$"))
+    return task * SHARD_NUMBERS + place
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """For each document in the shards: shard int, doc_id, local_start, n_tokens, ids_crc32."""
+    """For each document in the shards: shard, doc_id, local_start, n_tokens, ids_crc32."""
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -172,20 +204,19 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                             at, start, left = at + len(ids), end, []
                         left.append(flat[start : int(np.asarray(batch.column(4)).sum())])
                 ids, starts, sizes, crcs = map(list, zip(*out)) if out else ([], [], [], [])
-                yield pa.record_batch([pa.array([shard] * len(out), pa.int32()), pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64())], names=["shard", "doc_id", "local_start", "n_tokens", "ids_crc32"])
+                yield pa.record_batch([pa.array([shard] * len(out), pa.int64()), pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64())], names=["shard", "doc_id", "local_start", "n_tokens", "ids_crc32"])
 
     files = spark.read.format("binaryFile").load(path)
-    number = F.regexp_extract("path", r"part-(\d+)", 1).cast("int")
-    return files.select(number.alias("shard"), "content").mapInArrow(documents, "shard int, doc_id long, local_start long, n_tokens long, ids_crc32 long")
+    return files.select(shard_number(F.col("path")).alias("shard"), "content").mapInArrow(documents, "shard long, doc_id long, local_start long, n_tokens long, ids_crc32 long")
 
 
-def index(docs: DataFrame, vocabulary: str, length: int = 1024) -> DataFrame:
+def index(docs: DataFrame, vocabulary: str, length: int = 1024, lines: int = SHARD_LINES) -> DataFrame:
     """Writes docs as shards to the shared folder, reads them back: doc_id, start, n_tokens, ids_crc32, shard, local_start."""
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/arrow-shards-{uuid.uuid4().hex}"
-    write_shards(docs, path, vocabulary, length)
+    write_shards(docs, path, vocabulary, length, lines=lines)
     if not spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(spark._jvm.org.apache.hadoop.fs.Path(path)):
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long, shard int, local_start long")
+        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long, shard long, local_start long")
     rows = cut(read_documents(spark, path))
     totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     before = totals.withColumn("before", F.sum("n").over(Window.orderBy("shard")) - F.col("n")).drop("n")

@@ -6,7 +6,8 @@ any cut each source has sent its share. Within a source, documents follow a seed
 above its size starts again from the top, up to `max_epochs` times.
 
 Prefix sums never gather a source in one task: sizes are summed by (source, hash bucket), offsets are taken over these
-sums alone, and rows are ordered only within their bucket.
+sums alone, and rows are ordered only within their bucket. The number of buckets grows with the rows, so that a bucket, or a slot
+of finish times, has BUCKET_ROWS rows at most on average; results don't depend on it.
 
 Defined results: null text has no words; a document without words is never taken; null source is a source of its own,
 last in order; null doc_id is hashed as an empty string; equal rows are rows of their own; an empty table gives none.
@@ -21,7 +22,8 @@ from lodestar.llm.common import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
-BUCKETS = 1024  #: hash buckets of a source; also finish-time buckets in a unit of virtual time
+BUCKETS = 1024  #: hash buckets of a source, and slots of finish times in a unit of virtual time: at least so many
+BUCKET_ROWS = 8192
 _KEY = ["_mx_s", "_mx_n", "_mx_b"]
 
 
@@ -29,6 +31,11 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
+def n_buckets(rows: int) -> int:
+    """A power of two, from BUCKETS to 2^30."""
+    return min(1 << 30, max(BUCKETS, 1 << max(0, -(-rows // BUCKET_ROWS) - 1).bit_length()))
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, max_epochs: int = 2) -> DataFrame:
     """sizes: (_mx_s, _mx_n, source_size), a row for each source. Adds target.
 
@@ -53,6 +60,7 @@ def plan_mix(docs: DataFrame, payload: list[str], weights: tuple[int, ...] = WEI
     """A row for each row of docs (doc_id, text, source and more): the payload columns of docs, size, source_size,
     target, and finish, the virtual finish times of the copies that the mix takes (an array, empty if none).
     """
+    buckets = n_buckets(docs.count())
     h = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     sized = docs.select(
         *[F.col(c).alias(f"_mx_p{i}") for i, c in enumerate(payload)],
@@ -60,7 +68,7 @@ def plan_mix(docs: DataFrame, payload: list[str], weights: tuple[int, ...] = WEI
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_mx_s"),
         F.col("source").isNull().alias("_mx_n"),
         h.alias("_mx_h"),
-        F.floor(F.conv(F.substring(h, 1, 5), 16, 10).cast("long") * BUCKETS / 16**5).cast("int").alias("_mx_b"),
+        F.shiftright(F.conv(F.substring(h, 1, 8), 16, 10).cast("long") * buckets, 32).cast("int").alias("_mx_b"),
     )
     if "text" not in payload:  # then rows are small, and texts are read once
         sized = cut(sized)
@@ -77,7 +85,7 @@ def plan_mix(docs: DataFrame, payload: list[str], weights: tuple[int, ...] = WEI
 
     lean = timed(sized.select(*_KEY, "_mx_h", "_mx_size"))
     budget = share * (sums.agg(F.sum("_w")).first()[0] or 0)
-    last = finish_limit(lean.select(F.explode("_ends").alias("f"), F.col("_mx_size").alias("w")), budget)
+    last = finish_limit(lean.select(F.explode("_ends").alias("f"), F.col("_mx_size").alias("w")), budget, buckets)
     kept = F.filter("_ends", lambda f: f <= F.lit(last))
     return timed(sized).select(
         *[F.col(f"_mx_p{i}").alias(c) for i, c in enumerate(payload)],
@@ -85,12 +93,12 @@ def plan_mix(docs: DataFrame, payload: list[str], weights: tuple[int, ...] = WEI
     )
 
 
-def finish_limit(copies: DataFrame, budget: float) -> float:
+def finish_limit(copies: DataFrame, budget: float, slots: int = BUCKETS) -> float:
     """The largest finish time up to which copies (f double, w long) sum to the budget at most; minus infinity if none.
 
-    Sums by bucket of time find the bucket where the budget runs out; only this bucket's times are ordered.
+    Sums by slot of time, slots to a unit, find the slot where the budget runs out; only this slot's times are ordered.
     """
-    slot = F.floor(F.col("f") * BUCKETS).cast("long")
+    slot = F.floor(F.col("f") * slots).cast("long")
     by_slot = cut(copies.groupBy(slot.alias("b")).agg(F.sum("w").alias("w"), F.max("f").alias("f")))
     run = by_slot.withColumn("c", F.sum("w").over(Window.orderBy("b")))
     row = run.agg(F.max(F.when(F.col("c") <= budget, F.col("f"))), F.max(F.when(F.col("c") <= budget, F.col("c"))), F.min(F.when(F.col("c") > budget, F.col("b")))).first()

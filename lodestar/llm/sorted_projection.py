@@ -7,6 +7,9 @@ What passes find is the components; within a component all vectors are then comp
 are counted exactly, pairs included that no window held. A large component is compared by pairs of blocks, each a task.
 Equal vectors are one candidate with a count.
 
+The number of passes grows with the number of vectors (`enough_passes`): as many as find an isolated pair at the threshold with
+probability RECALL if vectors are spread evenly, never less than PASSES.
+
 Cosines are in double precision; vectors that are null, zero, or hold null or non-finite components link with nothing.
 
 Defined results: vectors of different lengths never link; vec_id null counts as no id when the smallest is looked for
@@ -16,6 +19,7 @@ each other; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +31,18 @@ from lodestar.llm.common import components, cut
 from lodestar.llm.golay_simhash import forest
 
 PASSES, WINDOW, BLOCK = 16, 32, 1024
+RECALL = 0.99
+
+
+def enough_passes(rows: int, threshold: float, window: int, recall: float = RECALL, least: int = PASSES) -> int:
+    """Passes after which a pair at the threshold has shared a window with probability recall.
+
+    Two vectors agree in a bit with probability 1 - angle / pi. About rows / 2^n vectors share the first n bits, so a pair that agrees
+    in the first log2(rows / window) bits stands within a window.
+    """
+    bits = max(0.0, math.log2(max(1, rows) / window))
+    once = (1 - math.acos(threshold) / math.pi) ** bits
+    return least if once >= 1 else max(least, math.ceil(math.log(1 - recall) / math.log(1 - once)))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -112,8 +128,8 @@ def count_links(members: DataFrame, threshold: float, block: int) -> DataFrame:
     return pairs.groupBy("cid").agg(F.sum("others").alias("others"))
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95, passes: int = PASSES, window: int = WINDOW, block: int = BLOCK, seed: int = 11) -> DataFrame:
-    """vectors (vec_id, embedding array): vec_id, n_links, component_id, kept, a row for each row."""
+def near_duplicates(vectors: DataFrame, threshold: float = 0.95, passes: int | None = None, window: int = WINDOW, block: int = BLOCK, seed: int = 11) -> DataFrame:
+    """vectors (vec_id, embedding array): vec_id, n_links, component_id, kept, a row for each row. Without a number of passes, there are enough."""
     e = F.col("embedding")
     finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     good = e.isNotNull() & finite & F.exists(e, lambda x: x != 0)
@@ -121,6 +137,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, passes: int = P
     # -0.0 and 0.0 are the same component
     classes = rows.where("good").withColumn("embedding", F.transform("embedding", lambda x: x + 0)).groupBy("embedding").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"))
     classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()))
+    passes = passes or enough_passes(classes.count(), threshold, window)
     comps = cut(components(close_links(classes, threshold, passes, window, seed)).select(F.col("id").alias("cid"), "component"))
     members = classes.join(comps, "cid")
     others = count_links(members.select("component", "cid", "n", "embedding"), threshold, block)

@@ -33,3 +33,25 @@ def test_edges(spark):
     want += [(i, 0, i, True) for i in (3, 4, 5, 6, 7, 9)]
     assert got == sorted(want, key=str)
     assert sp.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_passes_grow_with_the_rows():
+    n = [sp.enough_passes(10**e, 0.95, sp.WINDOW) for e in (0, 3, 5, 7, 9, 11)]
+    assert n[0] == n[1] == sp.PASSES and n == sorted(n) and 25 < n[3] < n[4] < 80 and n[5] < 140
+
+
+@pytest.mark.parametrize("rows", [2000, 16000])
+def test_recall_of_isolated_pairs(spark, rows):
+    """Evenly spread vectors in 64 dimensions, each with one other at cosine 0.951; as many passes as the formula gives for a window of one."""
+    rng, cos = np.random.default_rng(rows), 0.951
+    a = rng.standard_normal((rows // 2, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.standard_normal(a.shape)
+    b -= (b * a).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    x = np.concatenate([a, cos * a + (1 - cos**2) ** 0.5 * b])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    passes = sp.enough_passes(rows, 0.95, 1, least=1)
+    assert passes == {2000: 13, 16000: 18}[rows]
+    got = sp.near_duplicates(df, passes=passes, window=1)
+    assert got.where("n_links > 0").count() / rows >= 0.97

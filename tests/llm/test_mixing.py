@@ -47,3 +47,12 @@ def test_edges(edge, none):
     assert mixing.mix(edge).columns == edge.columns
     empty = mixing.mix_report(edge.where("doc_id in (2, 3)")).collect()
     assert [(r["size"], r["target"], r["taken"]) for r in empty] == [(0, 0.0, 0)] * 2
+
+
+def test_buckets_grow_with_the_rows_and_change_nothing(small, monkeypatch):
+    assert [mixing.n_buckets(n) for n in (0, 10**6, 1024 * 8192, 1024 * 8192 + 1, 2 * 10**10)] == [1024, 1024, 1024, 2048, 1 << 22]
+    want = sorted(map(str, mixing.mix_report(small).collect()))
+    for least, rows in ((1, 10**9), (1, 1), (1 << 30, 1)):
+        monkeypatch.setattr(mixing, "BUCKETS", least)
+        monkeypatch.setattr(mixing, "BUCKET_ROWS", rows)
+        assert sorted(map(str, mixing.mix_report(small).collect())) == want
