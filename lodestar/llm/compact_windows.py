@@ -92,11 +92,10 @@ def windows(v: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return left[real], c[real], right[real] - 1
 
 
-def _window_rows(docs: DataFrame, with_place: bool, shingle: int, length: int, functions: int) -> DataFrame:
-    """docs (_d, text): (key, _d, w) of all windows, w packing place, reach and function; without place, a row (key) for
-    each document and minimum.
+def _window_rows(docs: DataFrame, shingle: int, length: int, functions: int) -> DataFrame:
+    """docs (_d, text): (key, _d, w, first) of all windows, w packing place, reach and function; first is true for one of the windows
+    of a document with the same minimum. Blocks of a long document count apart, which costs lookups but changes no result.
     """
-    names = ["key", "_d", "w"] if with_place else ["key"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -133,16 +132,14 @@ def _window_rows(docs: DataFrame, with_place: bool, shingle: int, length: int, f
             heads = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])])[: len(c)])
             tails = np.concatenate([heads[1:], [len(c)]])[: len(heads)] - 1
             key, owner, left, c, right = key[heads], owner[heads], left[heads], c[heads], right[tails]
-            if with_place:
-                reach = np.minimum(right - c, (1 << 20) - 1)
-                out.append((key, ids[owner], c - starts[owner] + first[owner] << 32 | (c - left) << 22 | reach << 2 | j))
-            else:
-                order = np.lexsort((key, owner))
-                key, owner = key[order], owner[order]
-                out.append((key[np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])])[: len(key)]],))
-        return pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*out)], names=names)
+            order = np.lexsort((key, owner))
+            new = np.empty(len(key), bool)
+            new[order] = np.concatenate([[True], (np.diff(key[order]) != 0) | (np.diff(owner[order]) != 0)])[: len(key)]
+            reach = np.minimum(right - c, (1 << 20) - 1)
+            out.append((key, ids[owner], c - starts[owner] + first[owner] << 32 | (c - left) << 22 | reach << 2 | j, new))
+        return pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*out)], names=["key", "_d", "w", "first"])
 
-    return docs.select("_d", "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return docs.select("_d", "text").mapInArrow(run, "key long, _d long, w long, first boolean")
 
 
 def _candidate_keys(rows: DataFrame, length: int) -> DataFrame:
@@ -345,11 +342,13 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
     """
     length = min_words - shingle + 1
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_d"))
-    again = _window_rows(keyed, False, shingle, length, functions).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    again = cut(again)
+    found, place = stored(_window_rows(keyed, shingle, length, functions))
+    again = cut(found.where("first").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     known = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
-    survivors = _window_rows(keyed, True, shingle, length, functions).join(known, "key").select("key", "_d", "w")
-    keys, place = stored(_candidate_keys(survivors, length))
+    survivors = found.join(known, "key").select("key", "_d", "w")
+    keys, now = stored(_candidate_keys(survivors, length))
+    remove(docs.sparkSession, place)
+    place = now
     chosen = cut(keys.groupBy("pk").agg(F.min("_d").alias("rd"), F.max("_d").alias("last"), F.max_by("ab", "_d").alias("ab"), F.count("*").alias("n")).where("rd <> last"))
     a, b = F.shiftright("ab", 32), F.col("ab").bitwiseAND(F.lit((1 << 32) - 1))
     # of keys with three documents or more, all are looked up; of two, the groups have both
