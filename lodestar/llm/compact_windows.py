@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import components, cut, remove, stored
-from lodestar.llm.golay_simhash import shingle_hashes, words
+from lodestar.llm.golay_simhash import words
+from lodestar.llm.shingles import hashes_of_each, shingle_hashes
 
 SHINGLE, MIN_WORDS, SIMILARITY, FUNCTIONS = 5, 50, 0.8, 4
 LEVELS = 7
@@ -38,6 +39,7 @@ BLOCK = 32_000  #: shingles worked on at a time, so that arrays stay in the cach
 PER_TASK = 500  #: regions that a task holds against one representative
 GROUP = 1024  #: different regions of a key, beyond which they are compared by pairs of blocks
 SLACK = 0.05  #: by which the best window of a passage may look less similar than the passage
+ROWS = 64  #: texts hashed at a time
 CELLS = 1_000_000  #: places of regions looked up at once
 BROADCAST_ROWS = 4_000_000  #: keys (a long each) up to which they are broadcast; beyond, the join shuffles
 
@@ -99,12 +101,8 @@ def _window_rows(docs: DataFrame, shingle: int, length: int, functions: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for b in batches:
-            for i in range(b.num_rows):
-                h = shingle_hashes(b.column(1)[i].as_py(), shingle)
-                if len(h) < length:
-                    continue
-                d = b.column(0)[i].as_py()
+        for part in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+            for d, h in zip(part.column(0).to_pylist(), hashes_of_each(part.column(1).to_pylist(), shingle)):
                 for at in range(0, len(h) - length + 1, BLOCK):
                     held.append((d, at, h[at : at + BLOCK + length - 1]))
                     size += len(held[-1][2])
@@ -405,13 +403,13 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = h = order = None
-        for batch in batches:
+        for part in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             out = []
-            for d, doc_id, rd, a, region, class_id, class_text in zip(*(c.to_pylist() for c in batch.columns)):
+            columns = [part.column(i).to_pylist() for i in (0, 1, 2, 3, 5)]
+            for i, (d, doc_id, rd, a, class_id, own) in enumerate(zip(*columns, hashes_of_each(part.column(4).to_pylist(), shingle))):
                 if rd != last:
-                    last, h = rd, shingle_hashes(class_text, shingle)
+                    last, h = rd, shingle_hashes(part.column(6)[i].as_py(), shingle)
                     order = np.argsort(h, kind="stable")
-                own = shingle_hashes(region, shingle)
                 first, stop = (np.searchsorted(h, own, side, sorter=order) for side in ("left", "right"))
                 there = stop > first
                 if not there.any():
@@ -424,13 +422,14 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
-        for batch in batches:
+        for part in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             out = []
-            for key, i, j, _, c, doc_id, a, region in zip(*(c.to_pylist() for c in batch.columns)):
+            columns = [part.column(i).to_pylist() for i in (0, 1, 2, 4, 5, 6)]
+            for key, i, j, c, doc_id, a, h in zip(*columns, hashes_of_each(part.column(7).to_pylist(), shingle)):
                 if (key, i, j) != at:
                     out += settled(held)
                     at, held = (key, i, j), []
-                held.append((doc_id, a, c, shingle_hashes(region, shingle)))
+                held.append((doc_id, a, c, h.copy()))
             if out:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
         if out := settled(held):
