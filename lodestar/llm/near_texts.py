@@ -31,7 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import components, cut, remove, stored
-from lodestar.llm.golay_simhash import _remainder, blocked_rows, shingle_hashes, words
+from lodestar.llm.golay_simhash import _remainder, blocked_rows, words
+from lodestar.llm.shingles import hashes_of_each, shingle_hashes
 
 SEGMENTS, NEAREST, RANKS, SIZE, SIMILARITY, BLOCK = 15, 4, 3, 5, 0.8, 2048
 #: threes of segments: no two share a pair, and a segment is in five on average
@@ -88,6 +89,10 @@ def _shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, size))
 
 
+def _shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
+    return [np.unique(h) for h in hashes_of_each(texts, size)]
+
+
 def _sketches(docs: DataFrame, size: int) -> DataFrame:
     """docs (doc_id, _d, text): doc_id, _d, k (hash of the words), fp (64 bits), near (codewords), n (distinct shingles)."""
 
@@ -97,7 +102,7 @@ def _sketches(docs: DataFrame, size: int) -> DataFrame:
                 part = b.slice(at, 32)
                 texts = part.column(2).to_pylist()
                 k = np.array([xxhash.xxh64_intdigest(b" ".join(words(t)), 3) for t in texts], np.uint64).view(np.int64)
-                sets = [_shingle_set(t, size) for t in texts]
+                sets = _shingle_sets(texts, size)
                 v, n = np.stack(list(map(votes, sets))), np.array([len(x) for x in sets], np.int64)
                 fp = np.packbits(v[:, :64] > 0, axis=1, bitorder="little").view(np.int64).ravel()
                 near = pa.array([x.tobytes() for x in nearest_codewords(v).astype(np.int16)], pa.binary())
@@ -229,13 +234,13 @@ def groups(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY, bl
         for b in batches:
             for at in range(0, b.num_rows, 128):
                 part = b.slice(at, 128)
-                yield pa.record_batch([part.column(0), pa.array([_shingle_set(t, size).tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["_d", "h"])
+                yield pa.record_batch([part.column(0), pa.array([x.tobytes() for x in _shingle_sets(part.column(1).to_pylist(), size)], pa.binary())], names=["_d", "h"])
 
     def each_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 128):
                 part = b.slice(at, 128)
-                own = [_shingle_set(t, size) for t in part.column(1).to_pylist()]
+                own = _shingle_sets(part.column(1).to_pylist(), size)
                 yield pa.record_batch([pa.array(np.concatenate(own).view(np.int64)), pa.array(np.repeat(np.asarray(part.column(0)), [len(x) for x in own]))], names=["h", "_d"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
