@@ -10,6 +10,10 @@ leaves documents of a key unconnected (by passages of any key), all that differ
 those of the other components, until no two that share a passage are in different ones. So documents are connected as all
 pairs would connect them, but those that are connected already need not have a row for every passage they share.
 
+A line that many documents have gives keys with as many regions. In a key of more than GROUP different regions those are compared
+that share one of the rarest shingles of some window (`rare_shingles`): of a window's shingles all but a few must be in the other region,
+so among the rarest few and one there is one of these. Where this takes more than comparing all by pairs of blocks, all are compared.
+
 Windows reach at most HORIZON shingles from their minimum: longer repeats have several. Windows in a row with the same
 minimum (a shingle that repeats) count as one. Only windows whose minimum occurs in another document are joined.
 
@@ -37,7 +41,7 @@ LEVELS = 7
 HORIZON = (1 << LEVELS) - 1  #: enough for a passage of min_words words to both sides
 BLOCK = 32_000  #: shingles worked on at a time, so that arrays stay in the cache
 PER_TASK = 500  #: regions that a task holds against one representative
-GROUP = 1024  #: different regions of a key, beyond which they are compared by pairs of blocks
+GROUP = 1024  #: different regions of a key, beyond which those with a rare shingle in common are compared, or all by pairs of blocks
 SLACK = 0.05  #: by which the best window of a passage may look less similar than the passage
 ROWS = 64  #: texts hashed at a time
 CELLS = 1_000_000  #: places of regions looked up at once
@@ -268,7 +272,7 @@ def _by_windows(a: np.ndarray, b: np.ndarray, there: np.ndarray, length: int, si
     return out
 
 
-def partners(sets: list[np.ndarray], label: list[int], length: int, similarity: float) -> Iterator[tuple[int, int, list]]:
+def partners(sets: list[np.ndarray], label: list[int], length: int, similarity: float, every: bool = False) -> Iterator[tuple[int, int, list]]:
     """(i, j, passages) of regions (their shingles in order) of different labels, until those that have passages with each other are
     connected by labels and what came out.
 
@@ -289,7 +293,8 @@ def partners(sets: list[np.ndarray], label: list[int], length: int, similarity:
     place = order - offset[owner]
     again = np.concatenate([[False], ~new[1:] & (owner[1:] == owner[:-1])])
     distinct = np.bincount(owner[~again], minlength=n)
-    for i in np.flatnonzero(label != np.bincount(label).argmax()).tolist():  # what the others have with the most common is found from their side
+    # what the others have with the most common label is found from their side, unless every region is to be looked up
+    for i in range(n) if every else np.flatnonzero(label != np.bincount(label).argmax()).tolist():
         own = ids[offset[i] : offset[i + 1]]
         k = count[own]
         least = max(1, int(np.ceil(similarity * (length - (len(own) - int(distinct[i]))) - 1e-9)))
@@ -310,6 +315,12 @@ def partners(sets: list[np.ndarray], label: list[int], length: int, similarity:
                     yield i, j, found
 
 
+def _least_hits(length: int, similarity: float) -> int:
+    """Places of a window that another region must have for it to look similar enough, less SLACK."""
+    least = similarity - SLACK
+    return max(1, int(np.ceil(2 * length * least / (1 + least) - 1e-9)))
+
+
 def _estimates(t: np.ndarray, who: np.ndarray, where: np.ndarray, able: np.ndarray, size: int, n: int, length: int, repeats: np.ndarray) -> np.ndarray:
     """For each able region the best similarity of a window of the length, by its common shingles (place t here, place `where` in region `who`)."""
     out = np.zeros(len(able))
@@ -333,6 +344,102 @@ def _estimates(t: np.ndarray, who: np.ndarray, where: np.ndarray, able: np.ndarr
     return out
 
 
+def rare_shingles(ids: np.ndarray, n: np.ndarray, length: int, similarity: float) -> np.ndarray:
+    """Places of a region's shingles, one of which another region must have that passes `partners` from this region's side.
+
+    ids: the shingles; n: how many regions have each. A window that passes has at most `most` places that the other region lacks, and (a
+    passage has at most a fifth) at most a third of its distinct shingles; so of its rarest ones, one more than that, one is common.
+    """
+    most = length - _least_hits(length, similarity)
+    if len(n) < length:
+        return np.empty(0, np.int64)
+    order = np.lexsort((ids, n))
+    new = np.concatenate([[True], ids[order][1:] != ids[order][:-1]])
+    rank = np.empty(len(n), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    own = np.concatenate([[0], np.cumsum(n < 2)])
+    starts = np.flatnonzero(own[length:] - own[:-length] <= most)
+    chosen = np.zeros(int(new.sum()), bool)
+    for at in range(0, len(starts), 4096):
+        each = np.sort(rank[starts[at : at + 4096, None] + np.arange(length)], axis=1)
+        place = np.concatenate([np.zeros((len(each), 1), np.int64), np.cumsum(each[:, 1:] != each[:, :-1], axis=1)], axis=1)
+        chosen[each[place <= np.minimum(most, (place[:, -1:] + 1) // 3)]] = True
+    return np.flatnonzero(chosen[rank] & (n > 1))
+
+
+def _by_rare_shingles(huge: DataFrame, source: DataFrame, shingle: int, length: int, similarity: float) -> tuple[DataFrame, str]:
+    """huge (k, _d, c, kinds, ab), regions of keys; source (_d, text): (_d, c, k, ab, at) of new groups of regions that share a rare shingle of
+    one of them (`rare_shingles`), at the pairs of blocks (i, j) that each takes part in; and a table to be removed afterwards.
+
+    Regions with the shingle among their rare ones are dealt to blocks i (numbered from -1 down), all that have it to blocks j. Keys of which more regions would be
+    dealt so than by pairs of blocks of all stay whole.
+    """
+
+    def spelled(text: str | None, k: int, ab: int, own: list[bytes] | None = None) -> np.ndarray:
+        h = shingle_hashes(b" ".join((own or words(text))[ab >> 32 : (ab & (1 << 32) - 1) + shingle]).decode(), shingle)
+        return mixed(h ^ mixed(np.array([k], np.int64).view(np.uint64), 5), 6).view(np.int64)
+
+    def each_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for d, text, c, e in zip(*(x.to_pylist() for x in batch.columns)):
+                own = words(text)
+                for at in range(0, len(e), 1000):
+                    part = e[at : at + 1000]
+                    found = [np.unique(spelled(text, x["k"], x["ab"], own), return_counts=True) for x in part]
+                    sizes = [len(h) for h, _ in found]
+                    k, ab = (pa.array(np.repeat(np.array([x[name] for x in part], np.int64), sizes)) for name in ("k", "ab"))
+                    h, m = (pa.array(np.concatenate(x)) for x in zip(*found))
+                    yield pa.record_batch([h, k, pa.repeat(pa.scalar(d, pa.int64()), len(h)), pa.repeat(pa.scalar(c, pa.int64()), len(h)), ab, m.cast(pa.int32())], names=["h", "k", "_d", "c", "ab", "m"])
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for d, text, k, ab, e in zip(*(x.to_pylist() for x in batch.columns)):
+                h, known = spelled(text, k, ab), {x["h"]: x["n"] for x in e}
+                n = np.array([known.get(x, 1) for x in h.tolist()], np.int64)
+                hit = np.unique(h[rare_shingles(h, n, length, similarity)])
+                yield pa.record_batch([pa.array(hit), pa.repeat(pa.scalar(k, pa.int64()), len(hit)), pa.repeat(pa.scalar(d, pa.int64()), len(hit))], names=["h", "k", "_d"])
+
+    spark = huge.sparkSession
+    texts = source.select("_d", "text")
+    by_text = huge.groupBy("_d", "c").agg(F.collect_list(F.struct("k", "ab")).alias("e")).join(texts, "_d").select("_d", "text", "c", "e")
+    each, place = stored(by_text.mapInArrow(each_shingle, "h long, k long, _d long, c long, ab long, m int"))
+    counts = cut(each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
+    shared, now = stored(each.join(F.broadcast(counts) if counts.count() <= BROADCAST_ROWS else counts, "h"))
+    remove(spark, place)
+    place = now
+    able = shared.groupBy("k", "_d").agg(F.sum("m").alias("m")).where(F.col("m") >= _least_hits(length, similarity)).select("k", "_d")
+    sparse = able.groupBy("k").agg(F.count("*").alias("able")).join(huge.groupBy("k").agg(F.min("kinds").alias("kinds")), "k")
+    dense = cut(sparse.where(F.col("able") * 4 > F.col("kinds")).select("k"))
+    able = able.join(F.broadcast(dense) if dense.count() <= BROADCAST_ROWS else dense, "k", "left_anti")
+    asked = shared.join(able, ["k", "_d"]).groupBy("k", "_d", "ab").agg(F.collect_list(F.struct("h", "n")).alias("e"))
+    rarest = cut(asked.join(texts, "_d").select("_d", "text", "k", "ab", "e").mapInArrow(rare, "h long, k long, _d long"))
+    chosen = rarest.select("h").distinct()
+    chosen = F.broadcast(chosen) if rarest.count() <= BROADCAST_ROWS else chosen
+    members = shared.join(chosen, "h").select("h", "k", "_d", "c", "ab").join(rarest.withColumn("p", F.lit(1)), ["h", "k", "_d"], "left").fillna(0, ["p"])
+    # shingles with the same documents are one
+    sizes = members.groupBy("h").agg(F.min("k").alias("k"), F.count("*").alias("n"), F.sum("p").alias("np"), F.sum(F.xxhash64("_d", "p").cast("decimal(38,0)")).alias("x"), F.min("c").alias("least"), F.max("c").alias("most"))
+    sizes = cut(sizes.where("least <> most").select("h", "k", "n", "np", F.xxhash64("x", "n", "np").alias("g"), F.ceil(F.col("np") / GROUP).cast("int").alias("ni"), F.ceil(F.col("n") / GROUP).cast("int").alias("nj")))
+    groups = sizes.groupBy("k", "g").agg(F.max(F.expr("np * nj + n * ni")).alias("dealt")).groupBy("k").agg(F.sum("dealt").alias("dealt"))
+    whole = cut(huge.groupBy("k").agg(F.min("kinds").alias("kinds")).join(groups, "k").where(F.col("dealt") > F.col("kinds") * F.ceil(F.col("kinds") / GROUP)).select("k").union(dense).distinct())
+    a, b = F.shiftright("ab", 32), F.col("ab").bitwiseAND(F.lit((1 << 32) - 1))
+    split = sizes.join(whole, "k", "left_anti").select("h", "g", "ni", "nj")
+    groups = members.join(split, "h").groupBy("g", "_d", "c").agg(F.max("p").alias("p"), F.min("ni").alias("ni"), F.min("nj").alias("nj"), (F.shiftleft(F.min(a), 32) + F.max(b)).alias("ab"))
+    i, j = (F.pmod(F.xxhash64("_d"), F.col(n)).cast("int") for n in ("ni", "nj"))
+    all_i, all_j = (F.sequence(F.lit(0), F.col(n) - 1) for n in ("ni", "nj"))
+    as_member = F.transform(all_i, lambda x: F.struct((-1 - x).alias("i"), j.alias("j")))
+    as_rare = F.when(F.col("p") == 1, F.transform(all_j, lambda x: F.struct((-1 - i).alias("i"), x.alias("j")))).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
+    some = groups.select("_d", "c", F.col("g").alias("k"), "ab", F.array_distinct(F.concat(as_member, as_rare)).alias("at"))
+    return some.unionByName(_by_blocks(huge.join(whole, "k"))), place
+
+
+def _by_blocks(group: DataFrame) -> DataFrame:
+    """group (k, _d, c, kinds, ab): (_d, c, k, ab, at), all regions of a key dealt to pairs of blocks (i, j)."""
+    nb = F.ceil(F.col("kinds") / GROUP).cast("int")
+    mine = F.pmod(F.xxhash64("_d"), nb).cast("int")
+    spread = F.transform(F.sequence(F.lit(0), nb - 1), lambda x: F.struct(F.least(mine, x).alias("i"), F.greatest(mine, x).alias("j")))
+    return group.select("_d", "c", "k", "ab", spread.alias("at"))
+
+
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, shingle: int = SHINGLE, functions: int = FUNCTIONS) -> DataFrame:
     """docs (doc_id, text): near-duplicate passages, (doc_id, start_word, n_words, class_doc_id, class_start_word,
     class_n_words, similarity), a row for each passage of a document and its representative; a representative's own
@@ -427,18 +534,18 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
             columns = [part.column(i).to_pylist() for i in (0, 1, 2, 4, 5, 6)]
             for key, i, j, c, doc_id, a, h in zip(*columns, hashes_of_each(part.column(7).to_pylist(), shingle)):
                 if (key, i, j) != at:
-                    out += settled(held)
+                    out += settled(held, at)
                     at, held = (key, i, j), []
                 held.append((doc_id, a, c, h.copy()))
             if out:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
-        if out := settled(held):
+        if out := settled(held, at):
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
-    def settled(held: list) -> list[tuple]:
+    def settled(held: list, at: tuple | None) -> list[tuple]:
         out = []
         if len(held) > 1:
-            for i, j, found in partners([x[3] for x in held], [x[2] for x in held], length, similarity):
+            for i, j, found in partners([x[3] for x in held], [x[2] for x in held], length, similarity, at[1] < 0):
                 (doc_id, a, *_), (class_id, c, *_) = held[i], held[j]
                 out += [(doc_id, a + s, e - s + shingle - 1, class_id, c + bs, be - bs + shingle - 1, x) for s, e, bs, be, x in found]
         return out
@@ -468,13 +575,22 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
     words_of = (F.col("b") - F.col("a") + shingle).alias("n_words")
     copies = alike.select("doc_id", F.col("a").alias("start_word"), words_of, F.col("s.doc_id").alias("class_doc_id"), F.col("s.a").alias("class_start_word"), words_of.alias("class_n_words"), F.lit(1.0).alias("similarity")).distinct()
     # two regions of a key have been compared already: one is that of the document that stands for it
-    kinds_of = classes.groupBy("key").agg(F.count("*").alias("kinds"), F.sum(F.xxhash64("s._d").cast("decimal(38,0)")).alias("x"), F.min("s.c").alias("least"), F.max("s.c").alias("most"))
-    open_keys = kinds_of.where("kinds > 2 AND least <> most").select("key", F.xxhash64("x", "kinds").alias("k"), F.ceil(F.col("kinds") / GROUP).cast("int").alias("nb"))
+    kinds_of = classes.groupBy("key").agg(F.count("*").alias("kinds"), F.sum(F.xxhash64("s._d").cast("decimal(38,0)")).alias("x"), F.min("s.c").alias("least"), F.max("s.c").alias("most"), F.approx_count_distinct("s.c").alias("parts"))
+    open_keys = kinds_of.where("kinds > 2 AND least <> most").select("key", F.xxhash64("x", "kinds").alias("k"), "kinds", "parts")
     # keys with the same documents are one
-    group = classes.select("key", "s.*").join(open_keys, "key").groupBy("k", "_d", "c").agg(F.min("nb").alias("nb"), F.min("a").alias("a"), F.max("b").alias("b"))
-    mine = F.pmod(F.xxhash64("_d"), F.col("nb")).cast("int")
-    spread = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda x: F.struct(F.least(mine, x).alias("i"), F.greatest(mine, x).alias("j")))
-    listed = cut(group.groupBy("_d", "c").agg(F.collect_list(F.struct(F.col("k").alias("pk"), (F.shiftleft("a", 32) + F.col("b")).alias("ab"), spread.alias("at"))).alias("e")))
+    ab = (F.shiftleft(F.min("a"), 32) + F.max("b")).alias("ab")
+    group = cut(classes.select("key", "s.*").join(open_keys, "key").groupBy("k", "_d", "c").agg(F.min("kinds").alias("kinds"), F.min("parts").alias("parts"), ab))
+    # where most regions are in few components, there is little to compare
+    many = (F.col("kinds") > GROUP) & (F.col("parts") * 4 > F.col("kinds"))
+    listed = _by_blocks(group.where(~many))
+    huge = group.where(many).select("k", "_d", "c", "kinds", "ab")
+    place = None
+    if huge.head(1):
+        split, place = _by_rare_shingles(huge, source, shingle, length, similarity)
+        listed = listed.unionByName(split)
+    listed = cut(listed.groupBy("_d", "c").agg(F.collect_list(F.struct(F.col("k").alias("pk"), "ab", "at")).alias("e")))
+    if place:
+        remove(docs.sparkSession, place)
     cutout = listed.join(source, "_d").select("_d", "doc_id", "text", "e", "c").mapInArrow(cut_out, "key long, at array<struct<i:int,j:int>>, _d long, c long, doc_id long, a long, region string")
     dealt = cutout.withColumn("at", F.explode("at")).select("key", F.col("at.i").alias("i"), F.col("at.j").alias("j"), "_d", "c", "doc_id", "a", "region")
     later = cut(dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "_d").mapInArrow(compare, schema))

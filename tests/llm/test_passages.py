@@ -174,3 +174,72 @@ def test_edit_near_the_start_and_dense_edits():
         own[p] = "x"
     a, b = (cw.shingle_hashes(" ".join(w), 5) for w in (base, own))
     assert any(s <= 75 and e >= 120 for s, e, *_ in cw.passages(a, b, 46, 0.8))
+
+
+def test_rare_shingles_are_met_by_whatever_passes():
+    """A window of 46 with 40 places and two thirds of its shingles that another region has: one of the chosen places is among them."""
+    rng, hit = np.random.default_rng(3), 0
+    for turn in range(400):
+        a = rng.integers(0, rng.choice([8, 60, 4000]), rng.integers(46, 130))
+        n = rng.integers(1, 9, 4000) * (rng.random(4000) < 0.9) + 2
+        lacks = rng.random(4000) < 0.12
+        n[lacks & (rng.random(4000) < 0.5)] = 1  # some that no other region has
+        there = ~lacks[a]
+        chosen = cw.rare_shingles(a, n[a], 46, 0.8)
+        if any(there[i : i + 46].sum() >= 40 and lacks[np.unique(a[i : i + 46])].mean() <= 1 / 3 for i in range(len(a) - 45)):
+            hit += 1
+            assert there[chosen].any()
+    assert hit > 50
+    assert not len(cw.rare_shingles(np.arange(100), np.ones(100, np.int64), 46, 0.8)) and not len(cw.rare_shingles(np.arange(45), np.full(45, 9), 46, 0.8))
+
+
+def test_a_common_line_is_not_compared_by_all_its_documents(spark, monkeypatch):
+    """Of 300 regions with the same line, those two of other components that share more come to be compared, each once; before, all were."""
+    from pyspark.sql import functions as F
+
+    line = prose(14, 9)
+    rows = [(i, " ".join(prose(60, 1000 + i // (2 if i < 2 else 1)) + line + prose(60, 3000 + i))) for i in range(300)]
+    source = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_d", F.col("doc_id"))
+    huge = source.select(F.lit(7).cast("long").alias("k"), "_d", F.col("_d").alias("c"), F.lit(300).cast("long").alias("kinds"), F.lit(129).cast("long").alias("ab"))
+    monkeypatch.setattr(cw, "GROUP", 16)
+    got, place = cw._by_rare_shingles(huge, source, 5, 46, 0.8)
+    found = got.collect()
+    cw.remove(spark, place)
+    assert {r["_d"] for r in found} == {0, 1} and all(list(map(tuple, r["at"])) == [(-1, 0)] for r in found)
+
+
+def test_blocks_of_a_rare_shingle(spark, monkeypatch):
+    """More regions than a block holds share a rare shingle: each that has it as such meets each other one in some pair of blocks."""
+    from pyspark.sql import functions as F
+
+    shared = prose(60, 9)
+    rows = [(i, " ".join(prose(20, 1000 + i) + shared + prose(20, 3000 + i))) for i in range(40)]
+    source = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_d", F.col("doc_id"))
+    huge = source.select(F.lit(7).cast("long").alias("k"), "_d", F.col("_d").alias("c"), F.lit(40).cast("long").alias("kinds"), F.lit(95).cast("long").alias("ab"))
+    monkeypatch.setattr(cw, "GROUP", 8)
+    got, place = cw._by_rare_shingles(huge, source, 5, 46, 0.8)
+    met = defaultdict(set)
+    for r in got.collect():
+        for i, j in r["at"]:
+            met[r["k"], i, j].add(r["_d"])
+    cw.remove(spark, place)
+    pairs = {(x, y) for s in met.values() for x in s for y in s}
+    assert pairs == {(x, y) for x in range(40) for y in range(40)} and max(map(len, met.values())) < 40
+
+
+def test_partners_from_either_side():
+    """60 repeats of a shingle against 41 of it and others: found from the first region's side, whichever label is the most common."""
+    a, b = np.full(60, 5, np.uint64), np.concatenate([np.full(41, 5), np.arange(100, 140)]).astype(np.uint64)
+    other = np.arange(500, 560).astype(np.uint64)
+    for sets, label in (([a, b, other], [1, 2, 2]), ([a, b, other], [1, 2, 1]), ([b, a], [1, 2]), ([a, b], [1, 2])):
+        got = list(cw.partners(sets, label, 46, 0.8, every=True))
+        assert len(got) == 1 and sets[got[0][0]] is a and sets[got[0][1]] is b
+
+
+def test_a_key_split_by_rare_shingles(spark, monkeypatch):
+    """Documents with 40 common words, two and two of which go on alike: found as from all pairs."""
+    line = prose(40, 9)
+    rows = [(i, " ".join(prose(60, 1000 + i) + line + prose(12, 2000 + i // 2) + prose(60, 3000 + i))) for i in range(40)]
+    monkeypatch.setattr(cw, "GROUP", 4)
+    got = cw.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["class_doc_id"] // 2) for r in got} == {(i, i // 2) for i in range(40)}
