@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,8 @@ from pyspark.sql import functions as F
 BATCH_ROWS, BATCH_BYTES = 1000, 16_000_000
 BROADCAST_EDGES = 500_000  #: edges of a graph up to which its nodes' minima (two longs each, at most 32 MB) are broadcast
 
+AT_ONCE = 500_000  #: edges (8 MB) that one task joins to components, where an operator asks for that
+
 
 def small_batches(spark: SparkSession) -> None:
     """Sets the session's Arrow batches for rows with texts, unless it has limits of its own."""
@@ -54,18 +59,38 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def _at_once(edges: DataFrame) -> DataFrame:
+    """components of few edges: one task joins the spanning forests of the partitions."""
+    from lodestar.llm.golay_simhash import forest
+
+    def joined(names: list[str]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = [np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns]) for b in batches if b.num_rows]
+            if held:
+                ids, place = np.unique(np.concatenate(held, axis=1), return_inverse=True)
+                u, v = place.reshape(2, -1)
+                yield pa.record_batch([pa.array(ids), pa.array(ids[forest(len(ids), u, v)])], names=names)
+
+        return run
+
+    return cut(edges.mapInArrow(joined(["u", "v"]), "u long, v long").repartition(1).mapInArrow(joined(["id", "component"]), "id long, component long"))
+
+
+def components(edges: DataFrame, at_once: int = 0, max_rounds: int = 60) -> DataFrame:
     """Connected components of edges (u long, v long): a row (id, component) for each id with an edge, component the smallest id.
 
     Alternates two contractions (each node's larger neighbours, then its smaller ones, move to the smallest it
     knows) until the edges are stars. Only minima are grouped, so a hub is pre-aggregated before each shuffle; the
     minima are broadcast for up to BROADCAST_EDGES edges, so that a hub's edges stay where they are. Beyond, the joins
     have one row for each key on one side, and adaptive execution may split the other.
-    Null ids and loops are left out; no edges give no rows.
+    Null ids and loops are left out; no edges give no rows. Up to at_once edges are joined by one task, without rounds.
     """
     pairs = edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v")
     now = cut(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    few = now.count() <= BROADCAST_EDGES  # a node has a row of minima; rounds add no nodes
+    n = now.count()
+    if n <= at_once:
+        return _at_once(now)
+    few = n <= BROADCAST_EDGES  # a node has a row of minima; rounds add no nodes
     side = F.broadcast if few else lambda df: df
     seen = None
     for _ in range(max_rounds):

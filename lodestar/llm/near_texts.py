@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import components, cut, remove, stored
+from lodestar.llm.common import AT_ONCE, components, cut, remove, stored
 from lodestar.llm.golay_simhash import _remainder, blocked_rows, words
 from lodestar.llm.shingles import hashes_of_each, shingle_hashes
 
@@ -39,6 +39,7 @@ SEGMENTS, NEAREST, RANKS, SIZE, SIMILARITY, BLOCK = 15, 4, 3, 5, 0.8, 2048
 THREES = [(t, (t + 1) % 15, (t + 5) % 15) for t in range(15)] + [(t, (t + 2) % 15, (t + 8) % 15) for t in (3 * i // 2 for i in range(10))]
 _COMBINATIONS = np.array([c for c in product(range(NEAREST), repeat=3) if sum(c) <= RANKS])
 BROADCAST_ROWS = 4_000_000  #: keys (a long each) up to which they are broadcast; beyond, the join shuffles
+TEXTS, BUCKET_KEYS = 2048, 4_000_000  #: texts whose keys are dealt at a time; keys of a bucket that a worker sorts at once, on average
 _BYTES = -(-SEGMENTS * 23 // 8)
 _codes: list[np.ndarray] = []
 
@@ -117,25 +118,72 @@ def bit_limit(similarity: float) -> int:
     return int(64 * rate + 3.3 * np.sqrt(64 * rate * (1 - rate)))
 
 
+def repeated_keys(classes: DataFrame, per_bucket: int = BUCKET_KEYS) -> DataFrame:
+    """classes (_d, fp, near): the keys (k) that two texts or more have.
+
+    Keys are dealt by their upper bits, so that a value holds the lower ones (four bytes each) of many texts, and counted by sorting
+    in numpy. Of a key that many texts have, TEXTS of them send two at most. Buckets hold per_bucket keys on average, or as many as four bytes tell apart.
+    """
+    n = max(1, classes.count()) * len(_COMBINATIONS)  # keys of a three
+    low = min(32, 36 - min(36, int(np.ceil(np.log2(max(1, n / per_bucket))))))
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            for at in range(0, b.num_rows, TEXTS):
+                held.append(_codewords(b.column(0).slice(at, TEXTS)))
+                size += len(held[-1])
+                if size >= TEXTS:
+                    yield bucketed(np.concatenate(held))
+                    held, size = [], 0
+        if size:
+            yield bucketed(np.concatenate(held))
+
+    def bucketed(near: np.ndarray) -> pa.RecordBatch:
+        k = np.sort(soft_keys(near).ravel())
+        k = k[np.concatenate([[True, True], k[2:] != k[:-2]])]
+        b, lower = k >> low, (k & (1 << low) - 1).astype(np.uint32)
+        heads = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
+        return pa.record_batch([pa.array(b[heads]), pa.array([x.tobytes() for x in np.split(lower, heads[1:])], pa.binary())], names=["b", "lower"])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+        for batch in batches:
+            for b, lower in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if b != last and held:
+                    yield repeated(last, held)
+                    held = []
+                last = b
+                held.append(np.frombuffer(lower.as_buffer(), np.uint32).copy())
+        if held:
+            yield repeated(last, held)
+
+    def repeated(b: int, held: list[np.ndarray]) -> pa.RecordBatch:
+        k = np.sort(np.concatenate(held))
+        k = np.unique(k[1:][k[1:] == k[:-1]])
+        return pa.record_batch([pa.array(k.astype(np.int64) | b << low)], names=["k"])
+
+    return classes.select("near").mapInArrow(dealt, "b long, lower binary").repartition("b").sortWithinPartitions("b").mapInArrow(counted, "k long")
+
+
+def _codewords(near: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(x.as_py() for x in near), np.int16).reshape(-1, SEGMENTS, NEAREST)
+
+
 def key_rows(classes: DataFrame) -> DataFrame:
     """classes (_d, fp, near): (k, _d, fp) for each key that another text has, too."""
 
-    def keyed(names: list[str]):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for at in range(0, b.num_rows, 256):
-                    part = b.slice(at, 256)
-                    near = np.frombuffer(b"".join(x.as_py() for x in part.column(2)), np.int16).reshape(-1, SEGMENTS, NEAREST)
-                    k = soft_keys(near)
-                    n = k.shape[1]
-                    columns = [pa.array(k.ravel()), pa.array(np.repeat(np.asarray(part.column(0)), n)), pa.array(np.repeat(np.asarray(part.column(1)), n))]
-                    yield pa.record_batch(columns[: len(names)], names=names)
-
-        return classes.select("_d", "fp", "near").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                k = soft_keys(_codewords(part.column(2)))
+                n = k.shape[1]
+                yield pa.record_batch([pa.array(k.ravel()), pa.array(np.repeat(np.asarray(part.column(0)), n)), pa.array(np.repeat(np.asarray(part.column(1)), n))], names=["k", "_d", "fp"])
 
-    again = cut(keyed(["k"]).groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k"))
+    again = cut(repeated_keys(classes))
     known = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
-    return keyed(["k", "_d", "fp"]).join(known, "k")
+    return classes.select("_d", "fp", "near").mapInArrow(keyed, "k long, _d long, fp long").join(known, "k")
 
 
 def hopeful(rows: DataFrame, similarity: float) -> DataFrame:
@@ -270,7 +318,7 @@ def groups(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY, bl
     place = now
     tried = cut(representatives(rows, similarity))
     links = verified(tried)
-    comps = components(links)
+    comps = components(links, AT_ONCE)
     rows, place = _fewer(rows, comps, place)  # a key of one component has nothing to add in later rounds
     for turn in (nearest_of_others, unconnected):
         more = cut(turn(rows, comps, similarity, block).join(tried, ["u", "v"], "left_anti"))
@@ -278,7 +326,7 @@ def groups(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY, bl
             continue
         tried = tried.unionByName(more)
         links = links.unionByName(verified(more))
-        comps = components(links)
+        comps = components(links, AT_ONCE)
         rows, place = _fewer(rows, comps, place)
     remove(docs.sparkSession, place)
     named = classes.select("k", "_d").join(comps.withColumnRenamed("id", "_d"), "_d", "left").select("k", F.coalesce("component", "_d").alias("component"))

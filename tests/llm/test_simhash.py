@@ -6,6 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from lodestar.llm import common
 from lodestar.llm import golay_simhash as gs
 from lodestar.llm import near_texts as nt
 
@@ -160,3 +161,28 @@ def test_near_texts_keys_meet():
         a, b = (nt.soft_keys(nt.nearest_codewords(np.stack([nt.votes(x[s]) for x in h]))) for s in (slice(0, 180), slice(20, 200)))
         met += sum(len(np.intersect1d(x, y)) > 0 for x, y in zip(a, b))
     assert met >= 0.995 * 2000
+
+
+@pytest.mark.parametrize("at_once", [0, 1_000])
+def test_components_in_rounds_and_at_once(spark, at_once):
+    r = random.Random(4)
+    edges = [(r.randrange(-150, 150), r.randrange(-150, 150)) for _ in range(120)] + [(1000 + i, 1001 + i) for i in range(200)] + [(7, 7), (None, 3)]
+    label = {x: x for u, v in edges if u is not None and u != v for x in (u, v)}
+    for _ in label:
+        for u, v in edges:
+            if u is not None and u != v:
+                label[u] = label[v] = min(label[u], label[v])
+    found = common.components(spark.createDataFrame(edges, "u long, v long").repartition(5), at_once).collect()
+    assert len(found) == len(label) and {x["id"]: x["component"] for x in found} == label
+    assert common.components(spark.createDataFrame([], "u long, v long"), at_once).collect() == []
+
+
+@pytest.mark.parametrize("per_bucket", [nt.BUCKET_KEYS, 1])
+def test_repeated_keys_are_counted_where_they_are_dealt(spark, monkeypatch, per_bucket):
+    monkeypatch.setattr(nt, "TEXTS", 7)
+    rng = np.random.default_rng(5)
+    near = np.stack([np.stack([rng.permutation(9)[: nt.NEAREST] + (4087 if s % 2 else 0) for s in range(nt.SEGMENTS)]) for _ in range(40)]).astype(np.int16)
+    count = np.unique(nt.soft_keys(near).ravel(), return_counts=True)
+    found = nt.repeated_keys(spark.createDataFrame([(bytearray(x.tobytes()),) for x in near], "near binary").repartition(3), per_bucket)
+    assert sorted(r["k"] for r in found.collect()) == count[0][count[1] > 1].tolist() and (count[1] == 1).any() and (count[1] > 2).any()
+    assert "HashAggregate" not in found._jdf.queryExecution().executedPlan().toString()  # no table of all keys in the JVM
