@@ -367,6 +367,12 @@ def rare_shingles(ids: np.ndarray, n: np.ndarray, length: int, similarity: float
     return np.flatnonzero(chosen[rank] & (n > 1))
 
 
+def _texts_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs (_d, text and more), one for each _d that rows have; the others go before texts are shuffled."""
+    some = cut(rows.select("_d").distinct())
+    return docs.join(F.broadcast(some) if some.count() <= BROADCAST_ROWS else some, "_d", "left_semi").dropDuplicates(["_d"])
+
+
 def _by_rare_shingles(huge: DataFrame, source: DataFrame, shingle: int, length: int, similarity: float) -> tuple[DataFrame, str]:
     """huge (k, _d, c, kinds, ab), regions of keys; source (_d, text): (_d, c, k, ab, at) of new groups of regions that share a rare shingle of
     one of them (`rare_shingles`), at the pairs of blocks (i, j) that each takes part in; and a table to be removed afterwards.
@@ -401,7 +407,7 @@ def _by_rare_shingles(huge: DataFrame, source: DataFrame, shingle: int, length:
 
     spark = huge.sparkSession
     texts = source.select("_d", "text")
-    by_text = huge.groupBy("_d", "c").agg(F.collect_list(F.struct("k", "ab")).alias("e")).join(texts, "_d").select("_d", "text", "c", "e")
+    by_text = huge.groupBy("_d", "c").agg(F.collect_list(F.struct("k", "ab")).alias("e")).join(_texts_of(texts, huge), "_d").select("_d", "text", "c", "e")
     each, place = stored(by_text.mapInArrow(each_shingle, "h long, k long, _d long, c long, ab long, m int"))
     counts = cut(each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
     shared, now = stored(each.join(F.broadcast(counts) if counts.count() <= BROADCAST_ROWS else counts, "h"))
@@ -410,9 +416,9 @@ def _by_rare_shingles(huge: DataFrame, source: DataFrame, shingle: int, length:
     able = shared.groupBy("k", "_d").agg(F.sum("m").alias("m")).where(F.col("m") >= _least_hits(length, similarity)).select("k", "_d")
     sparse = able.groupBy("k").agg(F.count("*").alias("able")).join(huge.groupBy("k").agg(F.min("kinds").alias("kinds")), "k")
     dense = cut(sparse.where(F.col("able") * 4 > F.col("kinds")).select("k"))
-    able = able.join(F.broadcast(dense) if dense.count() <= BROADCAST_ROWS else dense, "k", "left_anti")
+    able = cut(able.join(F.broadcast(dense) if dense.count() <= BROADCAST_ROWS else dense, "k", "left_anti"))
     asked = shared.join(able, ["k", "_d"]).groupBy("k", "_d", "ab").agg(F.collect_list(F.struct("h", "n")).alias("e"))
-    rarest = cut(asked.join(texts, "_d").select("_d", "text", "k", "ab", "e").mapInArrow(rare, "h long, k long, _d long"))
+    rarest = cut(asked.join(_texts_of(texts, able), "_d").select("_d", "text", "k", "ab", "e").mapInArrow(rare, "h long, k long, _d long"))
     chosen = rarest.select("h").distinct()
     chosen = F.broadcast(chosen) if rarest.count() <= BROADCAST_ROWS else chosen
     members = shared.join(chosen, "h").select("h", "k", "_d", "c", "ab").join(rarest.withColumn("p", F.lit(1)), ["h", "k", "_d"], "left").fillna(0, ["p"])
@@ -566,9 +572,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
     # what a document has in its keys' reach, by hash; equal ones are one region
     entries = cut(placed.join(still, "pk").groupBy("_d", "c").agg(F.collect_list(F.struct("pk", "ab")).alias("e")))
     remove(docs.sparkSession, rest)
-    some = entries.select("_d")
-    source = keyed.join(F.broadcast(some) if some.count() <= BROADCAST_ROWS else some, "_d", "left_semi").dropDuplicates(["_d"])
-    hashed = cut(entries.join(source, "_d").select("_d", "doc_id", "text", "e", "c").mapInArrow(contents, "key long, _d long, doc_id long, c long, a long, b long, r long"))
+    hashed = cut(entries.join(_texts_of(keyed, entries), "_d").select("_d", "doc_id", "text", "e", "c").mapInArrow(contents, "key long, _d long, doc_id long, c long, a long, b long, r long"))
     classes = cut(hashed.groupBy("key", "r").agg(F.min(F.struct("_d", "doc_id", "c", "a", "b")).alias("s"), F.min("c").alias("least"), F.max("c").alias("most")))
     # documents of several components with the same in reach
     alike = hashed.join(classes.where("least <> most").select("key", "r", "s"), ["key", "r"]).where("c <> s.c")
@@ -586,12 +590,12 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
     huge = group.where(many).select("k", "_d", "c", "kinds", "ab")
     place = None
     if huge.head(1):
-        split, place = _by_rare_shingles(huge, source, shingle, length, similarity)
+        split, place = _by_rare_shingles(huge, keyed, shingle, length, similarity)
         listed = listed.unionByName(split)
     listed = cut(listed.groupBy("_d", "c").agg(F.collect_list(F.struct(F.col("k").alias("pk"), "ab", "at")).alias("e")))
     if place:
         remove(docs.sparkSession, place)
-    cutout = listed.join(source, "_d").select("_d", "doc_id", "text", "e", "c").mapInArrow(cut_out, "key long, at array<struct<i:int,j:int>>, _d long, c long, doc_id long, a long, region string")
+    cutout = listed.join(_texts_of(keyed, listed), "_d").select("_d", "doc_id", "text", "e", "c").mapInArrow(cut_out, "key long, at array<struct<i:int,j:int>>, _d long, c long, doc_id long, a long, region string")
     dealt = cutout.withColumn("at", F.explode("at")).select("key", F.col("at.i").alias("i"), F.col("at.j").alias("j"), "_d", "c", "doc_id", "a", "region")
     later = cut(dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "_d").mapInArrow(compare, schema))
     members = cut(first.select(*names).unionByName(later).unionByName(copies).distinct())

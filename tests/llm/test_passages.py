@@ -243,3 +243,12 @@ def test_a_key_split_by_rare_shingles(spark, monkeypatch):
     monkeypatch.setattr(cw, "GROUP", 4)
     got = cw.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r["doc_id"], r["class_doc_id"] // 2) for r in got} == {(i, i // 2) for i in range(40)}
+
+
+def test_texts_that_are_not_asked_for_are_not_shuffled(spark):
+    """One text for each document asked for; the others go before the exchange."""
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(50)] * 2, "_d long, text string").repartition(3)
+    got = cw._texts_of(docs, spark.createDataFrame([(7,), (7,), (9,), (60,)], "_d long"))
+    assert sorted(map(tuple, got.collect())) == [(7, "text 7"), (9, "text 9")]
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert plan.index("LeftSemi") > plan.index("Aggregate")  # below the aggregate, which shuffles
