@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 #: rows and bytes of an Arrow batch between Spark and Python; texts are long, and a worker holds a batch whole
 BATCH_ROWS, BATCH_BYTES = 1000, 16_000_000
 BROADCAST_EDGES = 500_000  #: edges of a graph up to which its nodes' minima (two longs each, at most 32 MB) are broadcast
-
 AT_ONCE = 500_000  #: edges (8 MB) that one task joins to components, where an operator asks for that
 
 
